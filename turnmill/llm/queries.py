@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.functions.keys import community_key, post_key, source_key
-from turnmill.llm import capping, grouping, tokenizer
+from turnmill.llm import capping, grouping, overlap, tokenizer
+from turnmill.session import checkpointed
 from turnmill.sources.tables import table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -42,6 +43,29 @@ def _keys(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _conversations(spark: SparkSession, d: str) -> DataFrame:
+    split = F.lower(F.trim("split"))
+    own = [("sft_chains_scored", "chain_id", "turns"), ("dpo_final", "pair_id", "fork")]
+    a, b = (
+        table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(i).alias("id"), split.alias("split"), source_key("source").alias("source"), F.col(c).alias("conversation"))
+        for t, i, c in own
+    )
+    both = a.unionByName(b).filter(F.col("split").isin("train", "validation", "test"))
+    return overlap.prepare(both.withColumn("is_train", F.col("split") == "train"), F.col("conversation"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of rows of one table, one in training and one in evaluation, with the same conversation."""
+    prepared = _conversations(spark, d)
+    return overlap.cross_split_pairs(prepared, checkpointed(overlap.same_classes(prepared)))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per table, evaluation split and source: rows, and rows whose conversation is in training."""
+    prepared = _conversations(spark, d)
+    return overlap.overlap_report(prepared, overlap.same_classes(prepared))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of communities that posts link, directly or through others."""
     c = grouping.group_components(_keys(spark, d).select("community", "post")).filter(F.col("node").startswith("c:"))
@@ -66,7 +90,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_contributors, p3_found, p3_splits, p8_ids)
+    f.__name__: f for f in (p1_found, p1_contributors, p2_found, p2_report, p3_found, p3_splits, p8_ids)
 }
 
 _CONTRIBUTOR = r"""coalesce('c:' || nullif(regexp_replace(regexp_replace(lower(regexp_replace(subreddit, '\s+', '', 'g')), '^/*r/+', ''), '/+', '', 'g'), ''),
