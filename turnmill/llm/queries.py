@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.functions.keys import community_key, post_key, source_key
-from turnmill.llm import capping, grouping, overlap, tokenizer
+from turnmill.functions.keys import community_key, language_key, post_key, source_key
+from turnmill.llm import capping, defects, garbled, grouping, leakage, overlap, personal, tokenizer
 from turnmill.session import checkpointed
 from turnmill.sources.tables import table
 
@@ -84,13 +84,61 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return placed.join(grouping.assign_splits(sizes, PROPORTIONS), "component").select("tbl", "rec_id", "component", "split")
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    own = [("sft_chains_scored", "chain_id", "turns"), ("dpo_final", "pair_id", "fork")]
+    a, b = (table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(i).alias("rec_id"), F.col(c).alias("conversation")) for t, i, c in own)
+    return a.unionByName(b)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that hold personal data, by kind."""
+    return personal.find_personal(_personal(spark, d), "rec_id", "conversation", ("tbl",)).distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All conversations with personal data replaced by typed placeholders."""
+    return personal.redact_conversations(_personal(spark, d), "conversation")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective branches of dpo_final with their defect."""
+    pairs = table(spark, d, "dpo_final")
+    labelled = table(spark, d, "documents").select("text", language_key("lang").alias("lang"))
+    turn = "array<struct<content:string>>"
+    none = F.array().cast(turn)
+    each = F.concat(*[F.coalesce(F.from_json(c, turn), none) for c in ("fork", "chosen_branch", "rejected_branch")])
+    model = defects.fit(labelled, pairs.select(F.explode(each).alias("t")).select(F.col("t.content").alias("text")))
+    return defects.find_defects(pairs, model, "pair_id", "fork", {"chosen": "chosen_branch", "rejected": "rejected_branch"}).distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return tokenizer.encode_corpus(table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the held-out items that leaked into them."""
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "passage").select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with their documents and the most words found in one."""
+    got = leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "passage")
+    return got.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("most_words"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents decoded with a wrong encoding, wholly or in part."""
+    return garbled.mark_garbled(table(spark, d, "documents"), "doc_id", "text").filter("affected").select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Affected documents with their text restored as far as possible."""
+    return garbled.mark_garbled(table(spark, d, "documents"), "doc_id", "text").filter("affected").select("doc_id", "restored", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_contributors, p2_found, p2_report, p3_found, p3_splits, p8_ids)
+    f.__name__: f for f in (p1_found, p1_contributors, p2_found, p2_report, p3_found, p3_splits, p6_found, p6_redacted, p7_found, p8_ids, p9_found, p9_items, p10_found, p10_restored)
 }
 
 _CONTRIBUTOR = r"""coalesce('c:' || nullif(regexp_replace(regexp_replace(lower(regexp_replace(subreddit, '\s+', '', 'g')), '^/*r/+', ''), '/+', '', 'g'), ''),
