@@ -34,7 +34,7 @@ CUES = {
     "role": r"(?:work(?:s|ed|ing)? with|ask for|talk to|speak (?:to|with)|(?:my|our|his|her) (?:landlord|landlady|neighbou?r|boss|doctor|dentist|teacher|colleague|cousin|manager|tenant)|contact|pregunt\w+ por|trabajo con|mi (?:casero|casera|vecin[oa]|jef[ea])|"
     r"fragt? (?:am empfang )?nach|arbeite mit|(?:mein|meine) (?:vermieter(?:in)?|nachbar(?:in)?|chef(?:in)?|kolleg(?:e|in))|demande[zr]? (?:à voir )?|travaille avec|(?:mon|ma) (?:propriétaire|voisine?|patronne?|collègue)|pergunt\w+ (?:por|pel[oa])|trabalho com|"
     r"(?:meu|minha) (?:senhorio|senhoria|vizinh[oa]|chefe)|спросите|работаю с|(?:мой|моя) (?:хозяин|хозяйка|сосед(?:ка)?|начальник))[\s:,]*$",
-    "closing": r"(?:regards|best wishes|sincerely|cheers|yours|saludos|atentamente|viele grü(?:ß|ss)e|mit freundlichen grü(?:ß|ss)en|cordialement|bien à vous|atenciosamente|abraços|cumprimentos|с уважением),?\s*$",
+    "closing": r"(?:regards|best wishes|sincerely|yours truly|saludos|atentamente|viele grü(?:ß|ss)e|mit freundlichen grü(?:ß|ss)en|cordialement|bien à vous|atenciosamente|abraços|cumprimentos|с уважением)(?:,\s*|\s*\n\s*)$",
     "phone": r"(?:call|ring|text|phone|tel|telephone|mobile|cell|whatsapp|fax|dial|reach|number is|my number|mi número|número es|ll[aá]m\w*|tel[eé]fono|m[oó]vil|ruf\w*|meine nummer|handy|telefon|erreich\w*|appel\w*|mon numéro|joindre|téléphone|portable|lig[au]\w*|telefone|celular|telemóvel|meu número|звони\w*|телефон\w*|мой номер)\W(?:[^\n.!?]|\.(?=\S)|(?<=no)\.|(?<=nr)\.){0,22}$",
     "ident": r"(?:\bssn\b|social security|national insurance|passport|passeport|pasaporte|passaporte|reisepass|driver'?s? licen[cs]e|driving licen[cs]e|licen[cs]e no|\bdni\b|\bnie\b|\bnif\b|\bnss\b|iban|steuer-?id|steuernummer|ausweis\w*|sozialversicherung\w*|versicherungsnummer|"
     r"numéro de sécu\w*|sécurité sociale|carte d['’]identité|numéro fiscal|\bcpf\b|\brg\b|\bnib\b|cartão de cidadão|contribuinte|segurança social|identidade|паспорт\w*|инн\b|снилс|account (?:no|number)|kontonummer|\bkonto\b|cuenta|conta bancária|credit card|card number|tax (?:id|number)|taxpayer|\btin\b|nhs number|medicare|"
@@ -77,10 +77,10 @@ SIGNS = {
     "street2": ("calle ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "rua ", "travessa ", "praça ", "largo ", "alameda ", "c/ "),
     "street3": (" rue ", "avenue ", "boulevard ", " place ", "chemin ", "impasse ", "quai ", "allée", "cours "),
     "street4": ("ул.", "улиц", "проспект", "пр.", "переул", "шоссе", "площад", "бульвар", "набереж"),
-    "cue": ("name is", "name:", "name's", "i am called", "llamo", "nombre es", "soy ", "heiße", "heisse", "name ist", "appelle", "nom est", "chamo", "nome é", "зовут", "signed", "ing with", "work with", "worked with", "works with", "ask for", "talk to", "speak to", "speak with", "landlord", "landlady",
+    "cue": ("name is", "name:", "name's", "i am called", "llamo", "nombre es", "soy ", "heiße", "heisse", "name ist", "appelle", "nom est", "chamo", "nome é", "зовут", "signed", "working with", "work with", "worked with", "works with", "ask for", "talk to", "speak to", "speak with", "landlord", "landlady",
         "neighbour", "neighbor", "boss", "doctor", "dentist", "teacher", "colleague", "cousin", "manager", "tenant", "contact", "unten por", "unte por", "unta por", "trabajo con", "casero", "casera", "vecino", "vecina", "jefe", "jefa", "empfang nach", "fragt nach", "frag nach", "arbeite mit", "vermieter", "vermieterin", "nachbar", "nachbarin", "chef", "chefin", "kollege", "kollegin",
         "demandez", "demande", "travaille avec", "propriétaire", "voisin", "voisine", "patron", "patronne", "collègue", "ergunte por", "ergunte pelo", "ergunte pela", "trabalho com", "senhorio", "senhoria", "vizinho", "vizinha", "спросите", "работаю с", "хозяин", "хозяйка", "сосед", "соседка", "начальник",
-        "regards", "best wishes", "sincerely", "yours", "saludos", "atentamente", "grüße", "grüsse", "grüßen", "cordialement", "bien à vous", "atenciosamente", "abraços", "cumprimentos", "с уважением"),
+        "regards", "best wishes", "sincerely", "yours truly", "saludos", "atentamente", "grüße", "grüsse", "grüßen", "cordialement", "bien à vous", "atenciosamente", "abraços", "cumprimentos", "с уважением"),
 }
 
 
@@ -181,6 +181,8 @@ def candidates(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         initial = len(parts[0]) == 1
         if not (any(given) or c) or "," in s and low[0] in _CLOSING or low[-1] in _STOP or len(parts[-1]) < 2:
             continue
+        if s.islower() and not any(given) and "intro" not in c:
+            continue
         case = "upper" if s.isupper() else "lower" if s.islower() else "caps" if all(p[0].isupper() for p in parts) else "mixed"
         out[a, b, "name"] = (
             "bias", f"given{'F' if given[0] else 'L' if given[-1] else '0'}", "initial" if initial else "word", f"case_{case}", "comma" if "," in s else "nocomma", f"parts{len(parts)}",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.functions.keys import community_key, language_key, post_key, source_key
-from turnmill.llm import capping, defects, garbled, grouping, leakage, overlap, personal, tokenizer
+from turnmill.llm import abuse, capping, defects, garbled, grouping, leakage, overlap, personal, tokenizer
 from turnmill.session import checkpointed
 from turnmill.sources.tables import table
 
@@ -84,6 +84,25 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return placed.join(grouping.assign_splits(sizes, PROPORTIONS), "component").select("tbl", "rec_id", "component", "split")
 
 
+def p5_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its score, the label, turn and nearest labelled example of its worst turn."""
+    own = [("sft_chains_scored", "chain_id", "turns"), ("dpo_final", "pair_id", "chosen_branch")]
+    a, b = (table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(i).alias("rec_id"), source_key("source").alias("source"), F.col(c).alias("conversation")) for t, i, c in own)
+    index = abuse.read_index(table(spark, d, "abuse_examples"), "example_id", "text", "label", table(spark, d, "abuse_terms"))
+    return abuse.score_conversations(a.unionByName(b), index, "rec_id", "conversation", ("tbl", "source"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records with abusive, hateful or sexual content."""
+    return p5_scores(spark, d).filter(F.col("score") >= abuse.AFFECTED).select("tbl", "rec_id").distinct()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, affected rows and rate per table and source."""
+    bad = F.col("score") >= abuse.AFFECTED
+    return p5_scores(spark, d).groupBy("tbl", "source").agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("affected"), F.avg(bad.cast("double")).alias("rate"))
+
+
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     own = [("sft_chains_scored", "chain_id", "turns"), ("dpo_final", "pair_id", "fork")]
     a, b = (table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(i).alias("rec_id"), F.col(c).alias("conversation")) for t, i, c in own)
@@ -138,7 +157,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_contributors, p2_found, p2_report, p3_found, p3_splits, p6_found, p6_redacted, p7_found, p8_ids, p9_found, p9_items, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_contributors, p2_found, p2_report, p3_found, p3_splits, p5_found, p5_scores, p5_rates, p6_found, p6_redacted, p7_found, p8_ids, p9_found, p9_items, p10_found, p10_restored)
 }
 
 _CONTRIBUTOR = r"""coalesce('c:' || nullif(regexp_replace(regexp_replace(lower(regexp_replace(subreddit, '\s+', '', 'g')), '^/*r/+', ''), '/+', '', 'g'), ''),
