@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.functions.keys import community_key, language_key, post_key, source_key
-from turnmill.llm import abuse, capping, defects, garbled, grouping, leakage, overlap, personal, tokenizer
+from turnmill.llm import abuse, budget, capping, defects, garbled, grouping, leakage, overlap, personal, tokenizer
 from turnmill.session import checkpointed
 from turnmill.sources.tables import table
 
@@ -84,6 +84,23 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return placed.join(grouping.assign_splits(sizes, PROPORTIONS), "component").select("tbl", "rec_id", "component", "split")
 
 
+def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of dpo_final (both branches) and documents with its characters and estimated tokens."""
+    turn = "array<struct<content:string>>"
+    texts = F.concat(*[F.coalesce(F.from_json(c, turn), F.array().cast(turn)) for c in ("chosen_branch", "rejected_branch")])
+    keys = [source_key("source").alias("source"), language_key("lang").alias("lang"), community_key("subreddit").alias("community")]
+    pairs = table(spark, d, "dpo_final").select(F.lit("dpo_final").alias("tbl"), F.col("pair_id").alias("rec_id"), *keys, texts["content"].alias("texts"))
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), *keys, F.array("text").alias("texts"))
+    both = pairs.unionByName(docs)
+    chars = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(F.length(t), F.lit(0)))
+    return both.select("tbl", "rec_id", "source", "lang", "community", chars.alias("chars"), budget.token_counts(F.col("texts"), f"{TOKENIZERS}/piece_bpe_32k.model").alias("tokens"))
+
+
+def p4_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals per table, source, language and community."""
+    return budget.totals(p4_tokens(spark, d), ["tbl", "source", "lang", "community"])
+
+
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every record with its score, the label, turn and nearest labelled example of its worst turn."""
     own = [("sft_chains_scored", "chain_id", "turns"), ("dpo_final", "pair_id", "chosen_branch")]
@@ -157,7 +174,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_contributors, p2_found, p2_report, p3_found, p3_splits, p5_found, p5_scores, p5_rates, p6_found, p6_redacted, p7_found, p8_ids, p9_found, p9_items, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_contributors, p2_found, p2_report, p3_found, p3_splits, p4_tokens, p4_totals, p5_found, p5_scores, p5_rates, p6_found, p6_redacted, p7_found, p8_ids, p9_found, p9_items, p10_found, p10_restored)
 }
 
 _CONTRIBUTOR = r"""coalesce('c:' || nullif(regexp_replace(regexp_replace(lower(regexp_replace(subreddit, '\s+', '', 'g')), '^/*r/+', ''), '/+', '', 'g'), ''),
