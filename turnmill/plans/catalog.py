@@ -1,10 +1,399 @@
-"""The registered queries of the core library, and the SQL of those that have any."""
+"""The registered queries of the core library over the given tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnmill.functions import text, turns
+from turnmill.operators import pairs, report, rewrite, scoring, split, tokens, weights
+from turnmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+_TURN = """'[{"role":"VARCHAR","content":"VARCHAR","score":"DOUBLE","attunement_score":"DOUBLE","synthetic":"BOOLEAN"}]'"""
+_S = f"with s as (select *, case when json_valid(turns) then from_json(turns, {_TURN}) end as t from sft_chains_scored)"
+_P = "with p as (select * replace (" + ", ".join(f"case when json_valid({c}) then from_json({c}, {_TURN}) end as {c}" for c in ("fork", "chosen_branch", "rejected_branch")) + ") from dpo_final)"
+_CHARS = "coalesce(list_sum(list_transform({0}, lambda t: coalesce(length(t.content), 0))), 0)"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def _sft(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "sft_chains_scored").withColumn("turns", turns.decode("turns"))
+
+
+def _dpo(s: SparkSession, d: str) -> DataFrame:
+    return pairs.typed(table(s, d, "dpo_final"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+_ADJ = """unnest(list_filter(list_transform(range(1, len(t)), lambda i: {'u': t[i], 'a': t[i + 1], 'n': i}), lambda x: x.u.role = 'user' and x.a.role = 'assistant')) as x"""
+
+
+@query(_S + f", a as (select chain_id, {_ADJ} from s where len(t) >= 2) select chain_id, x.n::int as turn_no, x.u.content as user, x.a.content as assistant from a")
+def adjacent_pairs(s, d):
+    """Replies with the user turn before them."""
+    return scoring.exploded_pairs(_sft(s, d), "chain_id", F.col("turns"))
+
+
+_FLAT = "f as (select chain_id, generate_subscripts(t, 1) - 1 as turn_no, unnest(t).content as c from s)"
+_CLEAN = r"regexp_replace(regexp_replace(c, '[^\p{L}\p{N}\x00-\x7F]', ' ', 'g'), '[^\x00-\x7F]', 'q', 'g')"
+_LISTED = lambda ws: "len(regexp_extract_all(" + _CLEAN + ", '(?i)\\b(?:" + "|".join(ws).replace("'", "''") + ")\\b'))"
+_SENT = r"list_filter(string_split(regexp_replace(regexp_replace(c, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+_COUNTS = f"""len({_SENT}) as n_sentences, len(regexp_extract_all(c, '[a-zA-Z'']+')) as n_words,
+ length(array_to_string(regexp_extract_all(c, '[a-zA-Z'']+'), '')) as n_word_chars, {_LISTED(text.CONTRACTIONS)} as n_contractions, {_LISTED(text.PRONOUNS)} as n_pronouns,
+ len(list_filter({_SENT}, lambda x: rtrim(x).ends_with('?'))) as n_questions, len(list_filter({_SENT}, lambda x: rtrim(x).ends_with('!'))) as n_exclamations,
+ {_LISTED(text.HEDGES)} as n_hedges, {_LISTED(text.INFORMAL)} as n_informal, len(regexp_extract_all(c, '[.,;:!?\\-"''()\\[\\]{{}}]')) as n_punctuation, length(c) as n_chars"""
+
+
+@query(_S + ", " + _FLAT + f" select chain_id, turn_no::int as turn_no, {_COUNTS} from f where c is not null")
+def text_features(s, d):
+    """Raw style counts of every turn."""
+    t = _sft(s, d).select("chain_id", F.posexplode("turns").alias("turn_no", "t")).filter("t.content is not null")
+    return t.select("chain_id", "turn_no", *[c.alias(k) for k, c in text.counts(F.col("t.content")).items()])
+
+
+def _alignment(s, d):
+    return scoring.turn_alignment(_sft(s, d), "chain_id", F.col("turns"))
+
+
+_VEC = "[greatest(n_words,1)/greatest(n_sentences,1), n_word_chars/greatest(n_words,1), n_contractions/greatest(n_words,1), n_pronouns/greatest(n_words,1), n_questions/greatest(n_sentences,1), n_exclamations/greatest(n_sentences,1), n_hedges/greatest(n_words,1), n_informal/greatest(n_words,1), n_punctuation/greatest(n_chars,1)]"
+_ALIGN = f"""{_S}, a as (select chain_id, {_ADJ} from s where len(t) >= 2),
+ b as (select chain_id, x.n as turn_no, 'u' as side, coalesce(x.u.content, '') as c from a union all select chain_id, x.n, 'a', coalesce(x.a.content, '') from a),
+ n as (select chain_id, turn_no, side, {_COUNTS} from b), v as (select chain_id, turn_no, side, {_VEC} as v from n),
+ l as (select chain_id, turn_no, side, generate_subscripts(v, 1) as k, unnest(v) as x from v),
+ st as (select k, avg(x) as m, case when stddev_pop(x) < 1e-8 then 1.0 else stddev_pop(x) end as sd from l group by k),
+ z as (select chain_id, turn_no, side, k, (x - m) / sd as z from l join st using (k)),
+ w as (select u.chain_id, u.turn_no, sum(u.z * a.z) as dot, sqrt(sum(u.z * u.z)) * sqrt(sum(a.z * a.z)) as size from z u join z a using (chain_id, turn_no, k) where u.side = 'u' and a.side = 'a' group by all),
+ g as (select chain_id, turn_no, dot / case when size < 1e-8 then 1.0 else size end as alignment from w)"""
+
+
+@query(_ALIGN + " select chain_id, turn_no::int as turn_no, round(alignment, 6) as alignment from g")
+def turn_alignment(s, d):
+    """Style alignment of every reply."""
+    return _rounded(_alignment(s, d))
+
+
+@query(_ALIGN + ", c as (select chain_id, avg(alignment) as m from g group by all) select chain_id, round(coalesce(m, 0)::float::double, 5) as attunement_score from s left join c using (chain_id)")
+def chain_alignment(s, d):
+    return scoring.chain_alignment(_sft(s, d), "chain_id", _alignment(s, d)).select("chain_id", F.round(F.col("attunement_score").cast("double"), 5).alias("attunement_score"))
+
+
+@query(_ALIGN + """, c as (select coalesce(m, 0)::float::double as v from s left join (select chain_id, avg(alignment) as m from g group by all) using (chain_id))
+ select 'attunement_score' as measure, round(avg(v), 5) as mean, round(stddev_pop(v), 5) as std, round(min(v), 5) as least, round(max(v), 5) as most, round(quantile_cont(v, .5), 5) as median,
+ round(quantile_cont(v, .1), 5) as p10, round(quantile_cont(v, .25), 5) as p25, round(quantile_cont(v, .75), 5) as p75, round(quantile_cont(v, .9), 5) as p90 from c""")
+def chain_alignment_stats(s, d):
+    df = report.score_summary(scoring.chain_alignment(_sft(s, d), "chain_id", _alignment(s, d)))
+    return df.select(*[F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query()
+def embed_turn_scores(s, d):
+    """Chains with the alignment written into their turns."""
+    df = table(s, d, "sft_chains_scored").drop("attunement_score")
+    out = scoring.embed_alignment(df, "chain_id", turns.decode("turns"), _alignment(s, d))
+    return out.select("chain_id", F.to_json("turns").alias("turns"), F.round(F.col("attunement_score").cast("double"), 5).alias("attunement_score"))
+
+
+def _weight_sql(mode: str, floor: float, t: str = "t") -> str:
+    a = f"case when {t}.attunement_score is null then 0.5 when isnan({t}.attunement_score) then {floor} else greatest({floor}, {t}.attunement_score) end"
+    g = f"ln(1 + greatest(0, coalesce({t}.score, 0)))"
+    w = {"attunement_only": a, "additive": f"({a}) + 0.3 * {g}"}.get(mode, f"({a}) * (1 + 0.3 * {g})")
+    return f"case when {t}.role = 'assistant' then {w} else 0 end"
+
+
+def _register_weights():
+    for label, mode in (("gate", "gate_amplify"), ("attonly", "attunement_only"), ("additive", "additive")):
+        for version, floor in (("", 0.1), ("v1_", 0.0)):
+            sql = f"{_S} select chain_id, list_transform(t, lambda m: round({_weight_sql(mode, floor, 'm')}, 6)) as turn_weights from s where t is not null"
+
+            def run(s, d, mode=mode, floor=floor):
+                w = weights.turn_weights(F.col("turns"), 0.3, mode, floor)
+                return _sft(s, d).filter("turns is not null").select("chain_id", F.transform(w, lambda x: F.round(x, 6)).alias("turn_weights"))
+
+            query(sql, f"turn_weights_{version}{label}")(run)
+
+
+_register_weights()
+_KEPT = f"{_S}, k as (select chain_id, list_transform(t, lambda m: {_weight_sql('gate_amplify', 0.1, 'm')}) as w from s where chain_depth >= 3 and total_score >= 0 and t is not null), m as (select avg(x) as mean, stddev_pop(x) as sd from (select unnest(w) as x from k) where x > 0)"
+
+
+def _norm(s, d, most):
+    out = weights.normalise_turn_weights(pairs.sft_rows(table(s, d, "sft_chains_scored")), most=most)
+    return out.select("chain_id", F.transform("turn_weights", lambda x: F.round(x, 6)).alias("turn_weights"))
+
+
+@query(_KEPT + " select chain_id, list_transform(w, lambda x: round(case when x > 0 then case when sd <= 1e-8 then 1 else least(x / mean, 3) end else 0 end, 6)) as turn_weights from k, m")
+def sft_norm_v2(s, d):
+    return _norm(s, d, 3.0)
+
+
+@query(_KEPT + " select chain_id, list_transform(w, lambda x: round(case when x > 0 then case when sd <= 1e-8 then 1 else x / mean end else 0 end, 6)) as turn_weights from k, m")
+def sft_norm_v1(s, d):
+    return _norm(s, d, None)
+
+
+@query(_KEPT + " select count(*) as n, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, round(min(x), 6) as least, round(max(x), 6) as largest from (select unnest(w) as x from k) where x > 0")
+def weight_stats(s, d):
+    return _rounded(weights.weight_statistics(pairs.sft_rows(table(s, d, "sft_chains_scored"))))
+
+
+@query("select chain_id, chain_depth, total_score from sft_chains_scored where chain_depth >= 3 and total_score >= 0 and json_valid(turns)")
+def sft_filter(s, d):
+    return pairs.sft_rows(table(s, d, "sft_chains_scored")).select("chain_id", "chain_depth", "total_score")
+
+
+@query("""select chain_id, row_number() over (order by md5('42:' || chain_id)) <= ceil(count(*) over () * 0.05) as is_test from sft_chains_scored""")
+def sft_split(s, d):
+    return split.train_test(table(s, d, "sft_chains_scored").select("chain_id"), "chain_id")
+
+
+@query("select pair_id, subreddit from dpo_final order by md5('42:' || pair_id) limit 100")
+def sample_k(s, d):
+    return split.sample(table(s, d, "dpo_final").select("pair_id", "subreddit"), "pair_id", 100)
+
+
+_EX = f"coalesce(list_avg(list_filter(list_transform(chosen_branch, lambda t: {_weight_sql('gate_amplify', 0.1)}), lambda x: x > 0)), 1.0)"
+
+
+@query(f"{_P} select pair_id, round({_EX}, 6) as weight from p")
+def example_weight(s, d):
+    return _dpo(s, d).select("pair_id", F.round(weights.example_weight(F.col("chosen_branch")), 6).alias("weight"))
+
+
+_DPO = "score_delta >= 0 and coalesce(length_matched, false)"
+
+
+def _dpo_norm(s, d, most):
+    out = weights.normalise_weight(pairs.dpo_rows(table(s, d, "dpo_final"), chosen_weighting=True), most=most)
+    return out.select("pair_id", F.round("chosen_weight", 6).alias("chosen_weight"))
+
+
+for _name, _most in (("dpo_norm_v2", 2.0), ("dpo_norm_v1", None)):
+    _x = "w / m" if _most is None else f"least(w / m, {_most})"
+    query(f"{_P}, k as (select pair_id, {_EX} as w from p where {_DPO}), st as (select avg(w) as m, stddev_pop(w) as sd from k) select pair_id, round(case when sd <= 1e-8 then 1 else {_x} end, 6) as chosen_weight from k, st", _name)(lambda s, d, most=_most: _dpo_norm(s, d, most))
+
+
+@query(f"select pair_id, score_delta from dpo_final where {_DPO}")
+def dpo_filter(s, d):
+    return pairs.dpo_rows(table(s, d, "dpo_final")).select("pair_id", "score_delta")
+
+
+@query(_S + ", " + _FLAT.replace("unnest(t).content as c", "unnest(t) as m") + " select chain_id, turn_no::int as turn_no, m.role as role, m.content as content from f")
+def strip_messages(s, d):
+    return _sft(s, d).select("chain_id", F.posexplode(turns.strip(F.col("turns"))).alias("turn_no", "m")).select("chain_id", "turn_no", "m.role", "m.content")
+
+
+_SW = "coalesce(fork[-1].role = 'assistant', false)"
+_ROLES = "list_transform({0}, lambda t: case when not " + _SW + " then t.role when t.role = 'user' then 'assistant' when t.role = 'assistant' then 'user' else t.role end) as {0}"
+
+
+@query(f"{_P} select pair_id, {_SW} as swapped, {', '.join(_ROLES.format(c) for c in ('fork', 'chosen_branch', 'rejected_branch'))} from p")
+def role_swap(s, d):
+    out = pairs.swap_where_needed(_dpo(s, d))
+    return out.select("pair_id", "swapped", *[F.transform(c, lambda t: t["role"]).alias(c) for c in ("fork", "chosen_branch", "rejected_branch")])
+
+
+@query(f"{_P} select count(*) as pairs, count(*) filter ({_SW}) as swapped, count(*) filter (not {_SW}) as already_ok from p")
+def role_swap_stats(s, d):
+    return pairs.swap_statistics(pairs.swap_where_needed(_dpo(s, d)))
+
+
+@query(_S + " select chain_id, case when len(t) < 2 then true else coalesce(not list_bool_or(list_transform(range(1, len(t)), lambda i: coalesce(t[i].role = t[i + 1].role, false))), true) end as alternates from s where t is not null")
+def role_alternation(s, d):
+    return _sft(s, d).filter("turns is not null").select("chain_id", turns.alternates(F.col("turns")).alias("alternates"))
+
+
+_LEN = f"{_P}, x as (select *, {_CHARS.format('chosen_branch')} as c, {_CHARS.format('rejected_branch')} as r from p)"
+
+
+@query(f"{_LEN} select pair_id, round(abs(c - r) / greatest(c, r, 1), 6) as ratio, round((c - r) / greatest(c, r, 1), 6) as signed from x")
+def length_ratio(s, d):
+    c, r = turns.chars(F.col("chosen_branch")), turns.chars(F.col("rejected_branch"))
+    return _dpo(s, d).select("pair_id", F.round(turns.length_ratio(c, r), 6).alias("ratio"), F.round(turns.signed_ratio(c, r), 6).alias("signed"))
+
+
+_LOW = "coalesce(list_bool_and(list_transform(list_filter(rejected_branch, lambda t: t.role = 'assistant'), lambda t: coalesce(t.score, 0) < 5)), true)"
+
+
+@query(f"{_LEN} select pair_id from x where abs(c - r) / greatest(c, r, 1) <= 0.3 and {_LOW}")
+def skip_matched(s, d):
+    df = _dpo(s, d)
+    return df.filter(rewrite.needs_no_rewrite(turns.chars(F.col("chosen_branch")), turns.chars(F.col("rejected_branch")), F.col("rejected_branch"))).select("pair_id")
+
+
+@query(f"""{_P}, e as (select pair_id, generate_subscripts(rejected_branch, 1) - 1 as turn_no, unnest(rejected_branch) as t from p)
+ select pair_id, turn_no::int as turn_no, coalesce(length(t.content), 0)::int as target, greatest(1, trunc(coalesce(length(t.content), 0)::double * 0.7::double / 4)::int) as min_tokens,
+ greatest(32, trunc(coalesce(length(t.content), 0)::double * 1.3::double / 3)::int) as max_new_tokens from e where t.role = 'assistant' and coalesce(t.score, 0) >= 5""")
+def asst_requests(s, d):
+    return rewrite.assistant_requests(_dpo(s, d), "pair_id").select("pair_id", "turn_no", "target", "min_tokens", "max_new_tokens")
+
+
+@query(f"""{_LEN}, y as (select *, len(list_filter(rejected_branch, lambda t: t.role = 'user' or coalesce(t.synthetic, false))) as k from x where abs(c - r) / greatest(c, r, 1) > 0.3),
+ e as (select pair_id, c, r, k, generate_subscripts(rejected_branch, 1) - 1 as turn_no, unnest(rejected_branch) as t from y where k > 0)
+ select pair_id, turn_no::int as turn_no, t.role as role, greatest(20, coalesce(length(t.content), 0) + floor((c - r) / k))::bigint as target from e where t.role = 'user' or coalesce(t.synthetic, false)""")
+def length_match_requests(s, d):
+    return rewrite.length_requests(_dpo(s, d), "pair_id").select("pair_id", "turn_no", "role", "target")
+
+
+@query("""with c as (select doc_id, text, 200 as n, 100 as h from documents where text is not null), m as (select *, regexp_extract(substring(text, h + 2, n - h), '(?s)^(.*[.!?\\n])', 1) as tail from c)
+ select doc_id, case when length(text) <= n then text when tail = '' then substring(text, 1, n) else substring(text, 1, h + 1) || tail end as cut from m""")
+def truncate_boundary(s, d):
+    return table(s, d, "documents").filter("text is not null").select("doc_id", text.truncate_at_boundary(F.col("text"), F.lit(200)).alias("cut"))
+
+
+@query()
+def apply_rewrites(s, d):
+    """Pairs after rewriting with the stand-in generator, all phases."""
+    out = rewrite.rewrite_pairs(_dpo(s, d), "pair_id", rewrite.echo_generator)
+    return out.select("pair_id", "asst_replacements", "user_replacements", "length_matched", turns.chars(F.col("rejected_branch")).alias("rejected_chars"))
+
+
+@query(f"{_LEN} select pair_id, len(rejected_branch) is null as unread, coalesce(len(rejected_branch), 0) as rejected_depth, c as chosen_chars, r as rejected_chars from x")
+def assemble_pairs(s, d):
+    df = _dpo(s, d)
+    a = pairs.assemble(df.withColumn("source", F.col("pair_id").cast("string")))
+    return a.select(F.col("source").cast("long").alias("pair_id"), F.col("rejected_branch").isNull().alias("unread"), "rejected_depth", "chosen_chars", "rejected_chars")
+
+
+@query("select source, count(*) as rows, round(count(*) * 100 / (select count(*) from dpo_final), 6) as percent from dpo_final group by source")
+def source_counts(s, d):
+    return _rounded(report.counts_by(table(s, d, "dpo_final"), F.col("source"), "source"))
+
+
+@query("select coalesce(nullif(subreddit, ''), '(none)') as subreddit, count(*) as rows, round(count(*) * 100 / (select count(*) from dpo_final), 6) as percent from dpo_final group by 1 order by 2 desc, 1 limit 20")
+def subreddit_top20(s, d):
+    return _rounded(report.top_subreddits(table(s, d, "dpo_final")))
+
+
+@query("with n as (select post_id, count(*) as n from dpo_final group by 1) select count(*) as posts, round(avg(n), 6) as mean, quantile_cont(n, .5) as median, max(n) as most, round(quantile_cont(n, .9), 6) as p90 from n")
+def pairs_per_post(s, d):
+    return _rounded(report.pairs_per_post(table(s, d, "dpo_final")))
+
+
+def _stats_sql(head: str, source: str, cols: dict[str, str], *names: str) -> str:
+    how = {"mean": "avg(v)", "std": "stddev_pop(v)", "least": "min(v)", "most": "max(v)", "median": "quantile_cont(v, .5)", **{f"p{p}": f"quantile_cont(v, {p / 100})" for p in (10, 25, 75, 90)}}
+    parts = " union all ".join(f"select '{k}' as measure, ({c})::double as v from {source}" for k, c in cols.items())
+    return f"{head}, l as ({parts}) select measure, {', '.join(f'round({how[n]}, 6) as {n}' for n in names)} from l where v is not null and not isnan(v) group by measure"
+
+
+@query(_stats_sql(_P, "p", {"fork": "fork_depth", "chosen": "chosen_depth", "rejected": "len(rejected_branch)"}, "mean", "median", "least", "most"))
+def depth_stats(s, d):
+    return _rounded(report.depth_statistics(_dpo(s, d)))
+
+
+@query("with n as (select fork_depth, count(*) as rows from dpo_final group by 1) select * from n where rows >= 0.01 * (select count(*) from dpo_final) or fork_depth <= 10")
+def depth_distribution(s, d):
+    return report.depth_distribution(table(s, d, "dpo_final"))
+
+
+@query(_stats_sql(_P, "p", {c: c for c in ("chosen_score", "rejected_score", "score_delta")}, "mean", "median", "p10", "p90"))
+def score_stats(s, d):
+    return _rounded(report.score_statistics(table(s, d, "dpo_final")))
+
+
+@query(_stats_sql(_LEN, "x", {"chosen": "c", "rejected": "r"}, "mean", "median", "p90", "most"))
+def char_stats(s, d):
+    return _rounded(report.char_statistics(_dpo(s, d)))
+
+
+_BAL = "select count(*) as pairs, round(avg(q), 6) as mean, round(quantile_cont(q, .5), 6) as median, round(quantile_cont(q, .9), 6) as p90, " + ", ".join(f"count(*) filter (q <= {t}) as within_{int(t * 100)}" for t in (0.1, 0.2, 0.3, 0.5)) + ", count(*) filter (c > r) as chosen_longer, count(*) filter (r > c) as rejected_longer from (select c, r, abs(c - r) / greatest(c, r, 1) as q from x {0})"
+
+
+@query(_LEN + " " + _BAL.format(""))
+def length_balance(s, d):
+    return _rounded(report.length_balance(_dpo(s, d)))
+
+
+@query(_LEN + " " + _BAL.format("where coalesce(length_matched, false)"))
+def length_balance_matched(s, d):
+    return _rounded(report.length_balance(_dpo(s, d), True))
+
+
+@query("""select count(*) filter (a = 0 and u = 0) as untouched, count(*) filter (a > 0 or u > 0) as touched, count(*) filter (a > 0 and u = 0) as asst_only, count(*) filter (u > 0 and a = 0) as user_only,
+ count(*) filter (a > 0 and u > 0) as both from (select coalesce(asst_replacements, 0) as a, coalesce(user_replacements, 0) as u from dpo_final)""")
+def synthesis_stats(s, d):
+    return report.synthesis_statistics(table(s, d, "dpo_final"))
+
+
+@query("select * from (select coalesce(asst_replacements, 0) + coalesce(user_replacements, 0) as replacements, count(*) as rows from dpo_final group by 1) where replacements > 0")
+def replacement_distribution(s, d):
+    return report.replacement_distribution(table(s, d, "dpo_final"))
+
+
+@query(f"{_P} select count(*) filter (t.role = 'assistant') as assistant, count(*) filter (coalesce(t.role, '') <> 'assistant') as user from (select unnest(rejected_branch) as t from p) where t.synthetic")
+def synthetic_flags(s, d):
+    return report.synthetic_flags(_dpo(s, d))
+
+
+@query(f"{_P}, y as (select floor(coalesce(sum({_CHARS.format('fork')} + {_CHARS.format('chosen_branch')} + {_CHARS.format('rejected_branch')}), 0) / 4)::bigint as tokens, count(*) as n from p) select tokens, floor(tokens / greatest(n, 1))::bigint as tokens_per_pair from y")
+def token_estimate(s, d):
+    return report.token_estimate(_dpo(s, d))
+
+
+@query("""with v as (select chosen_chars as v from dpo_final where chosen_chars is not null), e as (select min(v) as lo, max(v) as hi, greatest(floor((max(v) - min(v)) / 10), 1)::bigint as step from v)
+ select bin, any_value(lo + bin * step)::bigint as start, count(*) as rows from (select least(floor((v - lo) / step), 9)::bigint as bin, lo, step from v, e where hi > lo) group by bin""")
+def histogram10(s, d):
+    return report.histogram(table(s, d, "dpo_final"), F.col("chosen_chars"))
+
+
+@query()
+def branch_checks(s, d):
+    """Checks of both branches of each pair with the stand-in tokenizer: pairs per check and outcome."""
+    return tokens.branch_checks(_dpo(s, d), "pair_id").groupBy("branch", "check", "status").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query("select 'chosen' as branch, count(*) as pairs from dpo_final union all select 'rejected', count(*) from dpo_final")
+def prefix_check(s, d):
+    """Pairs whose fork is a prefix of fork and branch, which must be all."""
+    c = tokens.branch_checks(_dpo(s, d), "pair_id").filter((F.col("check") == "prefix") & (F.col("status") == "OK"))
+    return c.groupBy("branch").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def _labels(s, d):
+    """Labels derived from the chains: a run of code points per turn, masked unless the assistant speaks."""
+    ids = F.flatten(F.transform("turns", lambda t: F.transform(F.filter(F.split(F.coalesce(t["content"], F.lit("")), " "), lambda w: w != ""), lambda w: F.when(t["role"] == "assistant", F.length(w)).otherwise(F.lit(-100)))))
+    df = _sft(s, d).filter("turns is not null")
+    return tokens.token_weights(df.select("chain_id", ids.alias("labels"), weights.turn_weights(F.col("turns")).alias("w")), "chain_id", "labels", "w")
+
+
+_TOK = f"""{_S}, w as (select chain_id, list_filter(list_transform(t, lambda m: {_weight_sql('gate_amplify', 0.1, 'm')}), lambda x: x > 0) as w, generate_subscripts(t, 1) as n, unnest(t) as m from s),
+ i as (select chain_id, w, n, m.role as role, list_filter(string_split(coalesce(m.content, ''), ' '), lambda x: x <> '') as ws from w), f as (select chain_id, w, n, generate_subscripts(ws, 1) as k, case when role = 'assistant' then length(unnest(ws)) else -100 end as label from i),
+ p as (select chain_id, w, label, row_number() over (partition by chain_id order by n, k) - 1 as pos from f), r as (select *, case when label <> -100 and coalesce(lag(label) over (partition by chain_id order by pos), -100) = -100 then 1 else 0 end as st from p),
+ q as (select *, sum(st) over (partition by chain_id order by pos) as run from r), tw as (select chain_id, pos, label, case when label = -100 then 0 else coalesce(w[run::int], 1) end as weight from q)"""
+
+
+@query(_TOK + " select chain_id, count(*) as tokens, round(sum(weight), 4) as weight, count(*) filter (weight > 0) as weighted from tw group by chain_id")
+def token_weights(s, d):
+    return _labels(s, d).groupBy("chain_id").agg(F.count(F.lit(1)).alias("tokens"), F.round(F.sum("weight"), 4).alias("weight"), F.count_if(F.col("weight") > 0).alias("weighted"))
+
+
+@query(_TOK + " select chain_id, round(sum((pos % 7 + 1) * weight) / greatest(sum(weight), 1), 6) as loss from tw group by chain_id")
+def weighted_loss(s, d):
+    return _rounded(tokens.weighted_loss(_labels(s, d).withColumn("l", (F.col("pos") % 7 + 1).cast("double")), "chain_id", "l", "weight"))
+
+
+@query(_TOK + ", sh as (select chain_id, label, coalesce(lead(label) over (partition by chain_id order by pos), -100) as target from tw) select chain_id, round(coalesce(count(*) filter (target <> -100 and label = target) / nullif(count(*) filter (target <> -100), 0), 0), 6) as accuracy from sh group by chain_id")
+def masked_accuracy(s, d):
+    return _rounded(tokens.masked_accuracy(tokens.shifted(_labels(s, d), "chain_id"), "label", "target", "chain_id"))
+
+
+@query(f"{_P}, b as (select pair_id % 97 as batch, {_EX} as w, (pair_id % 11)::double as l from p) select batch, round(avg(l) * avg(w), 6) as loss from b group by batch")
+def dpo_batch_loss(s, d):
+    x = _dpo(s, d).select((F.col("pair_id") % 97).alias("batch"), weights.example_weight(F.col("chosen_branch")).alias("w"), (F.col("pair_id") % 11).cast("double").alias("l"))
+    return _rounded(tokens.batch_loss(x, "batch", "l", "w"))
