@@ -133,7 +133,7 @@ def test_defects(spark):
     en = "The library opens at nine and the members bring their own cups to the reading room every morning. "
     de = "Die Bibliothek öffnet um neun und die Mitglieder bringen jeden Morgen ihre eigenen Tassen in den Lesesaal mit. "
     labelled = spark.createDataFrame([(en * 3 + str(i), "en") for i in range(8)] + [(de * 3 + str(i), "de") for i in range(8)] + [(None, "en"), ("x", None)], "text string, lang string")
-    m = defects.fit(labelled, labelled.select("text"))
+    m = defects.fit(labelled, labelled.select(F.xxhash64("text").alias("key"), F.array("text").alias("texts")))
     code = Hashes()
     q = en * 2
     cases = [(None, "empty"), ("", "empty"), (" ​\n", "empty"), ("[deleted]", "empty"), ("I cannot assist with that request.", "refusal"), (q.upper(), "copied_question"), ("> " + q, "copied_question"), (de * 2, "other_language"), ("The members bring their own cups to the", "truncated"), ("The members bring their own cups (and", "truncated"), ("The members bring cups.", None), ("See https://x.example.org/faq", None)]

@@ -14,6 +14,8 @@ from turnmill.llm.words import Hashes, content, turns, words
 from turnmill.session import checkpointed
 
 BANDS, ROWS = 28, 4
+#: Texts whose hashes are computed together.
+CHUNK = 256
 #: Bits of 64 in which the one-bit minwise sketches of a pair must agree to be compared word by word.
 SKETCH_AGREE = 39
 #: Shares of the words of the longer text that must stand in the other in the same order.
@@ -88,7 +90,9 @@ def _prepared(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cls, size, sketch = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int64)
         bands, codes = np.full(n, None, object), np.full(n, None, object)
         if rows:
-            b, k = signatures(lists)
+            # parts whose arrays stay in the processor's cache
+            parts = [signatures(lists[i : i + CHUNK]) for i in range(0, len(lists), CHUNK)]
+            b, k = (np.concatenate(x) for x in zip(*parts, strict=True))
             for j, i in enumerate(rows):
                 c = lists[j]
                 pos = np.arange(1, len(c) + 1, dtype=np.uint64)

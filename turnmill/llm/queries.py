@@ -143,7 +143,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     turn = "array<struct<content:string>>"
     none = F.array().cast(turn)
     each = F.concat(*[F.coalesce(F.from_json(c, turn), none) for c in ("fork", "chosen_branch", "rejected_branch")])
-    model = defects.fit(labelled, pairs.select(F.explode(each).alias("t")).select(F.col("t.content").alias("text")))
+    model = defects.fit(labelled, pairs.select(F.col("pair_id").alias("key"), each["content"].alias("texts")))
     return defects.find_defects(pairs, model, "pair_id", "fork", {"chosen": "chosen_branch", "rejected": "rejected_branch"}).distinct()
 
 

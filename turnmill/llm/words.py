@@ -22,9 +22,10 @@ def words(text: str) -> list[str]:
         text = _TAG.sub(" ", text)
     if "](" in text:
         text = _LINK.sub("] ", text)
-    text = text.translate(_APOSTROPHES)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
+    if text.isascii():
+        text = text.replace("'", "")
+    else:
+        text = unicodedata.normalize("NFKC", text.translate(_APOSTROPHES))
     return _WORD.findall(text.lower())
 
 
