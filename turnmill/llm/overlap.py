@@ -77,9 +77,10 @@ _PREPARED = T.StructType(
 
 
 @F.pandas_udf(_PREPARED)
-def _prepared(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    code = Hashes()
-    for s in batches:
+def _prepared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Class and length of every conversation; the rest only for the first of its copies in a task."""
+    code, seen = Hashes(), set()
+    for side, s in batches:
         rows, lists = [], []
         for i, v in enumerate(s):
             w = [x for t in turns(v) for x in words(content(t))]
@@ -89,15 +90,24 @@ def _prepared(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         n = len(s)
         cls, size, sketch = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int64)
         bands, codes = np.full(n, None, object), np.full(n, None, object)
-        if rows:
+        fresh = []
+        for j, i in enumerate(rows):
+            c = lists[j]
+            pos = np.arange(1, len(c) + 1, dtype=np.uint64)
+            cls[i] = int(((c.astype(np.uint64) + np.uint64(0x9E3779B9)) * (pos * np.uint64(0xD6E8FEB86659FD93) ^ (pos << np.uint64(31)))).sum(dtype=np.uint64) & np.uint64(2**63 - 1))
+            size[i] = len(c)
+            key = (side.iat[i], cls[i])
+            if key not in seen:
+                seen.add(key)
+                fresh.append(j)
+        if fresh:
             # parts whose arrays stay in the processor's cache
-            parts = [signatures(lists[i : i + CHUNK]) for i in range(0, len(lists), CHUNK)]
+            own = [lists[j] for j in fresh]
+            parts = [signatures(own[i : i + CHUNK]) for i in range(0, len(own), CHUNK)]
             b, k = (np.concatenate(x) for x in zip(*parts, strict=True))
-            for j, i in enumerate(rows):
-                c = lists[j]
-                pos = np.arange(1, len(c) + 1, dtype=np.uint64)
-                cls[i] = int(((c.astype(np.uint64) + np.uint64(0x9E3779B9)) * (pos * np.uint64(0xD6E8FEB86659FD93) ^ (pos << np.uint64(31)))).sum(dtype=np.uint64) & np.uint64(2**63 - 1))
-                size[i], sketch[i], bands[i], codes[i] = len(c), k[j], b[j], c.view(np.int32)
+            for x, j in enumerate(fresh):
+                i = rows[j]
+                sketch[i], bands[i], codes[i] = k[x], b[x], lists[j].view(np.int32)
         yield pd.DataFrame({"cls": cls, "n": size, "sketch": sketch, "bands": bands, "codes": codes})
 
 
@@ -108,15 +118,16 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def prepare(df: DataFrame, conversation: Column) -> DataFrame:
     """The rows of ``df`` with a split side and readable words, with class, sketch, band keys and word codes."""
-    p = df.withColumn("p", _prepared(conversation)).drop("conversation").select("*", "p.*").drop("p")
+    side = F.concat(F.col("tbl"), F.lit(":"), F.col("is_train").cast("string"))
+    p = df.withColumn("p", _prepared(side, conversation)).drop("conversation").select("*", "p.*").drop("p")
     return checkpointed(p.filter(F.col("n") > 0))
 
 
 def same_classes(prepared: DataFrame, same: float = SAME) -> DataFrame:
     """(tbl, train_cls, eval_cls, share): classes of equal word sequences that are the same across splits.
 
-    ``prepared`` has (tbl, is_train, cls, n, sketch, bands, codes). Copies fold into one entry per bucket
-    before any pair is made, and only train-against-evaluation pairs are made, thinned by length and
+    ``prepared`` has (tbl, is_train, cls, n, sketch, bands, codes). Copies bring one entry per task, and fold
+    into one per bucket before any pair is made, and only train-against-evaluation pairs are made, thinned by length and
     sketch within the join.
     """
     entries = (
@@ -136,7 +147,7 @@ def same_classes(prepared: DataFrame, same: float = SAME) -> DataFrame:
     )
     near = checkpointed(near)
     wanted = near.select("tbl", F.col("train_cls").alias("cls")).unionByName(near.select("tbl", F.col("eval_cls").alias("cls"))).distinct()
-    texts = prepared.select("tbl", "cls", "codes").join(wanted, ["tbl", "cls"], "left_semi").dropDuplicates(["tbl", "cls"])
+    texts = prepared.filter("codes is not null").select("tbl", "cls", "codes").join(wanted, ["tbl", "cls"], "left_semi").dropDuplicates(["tbl", "cls"])
     a = texts.select("tbl", F.col("cls").alias("train_cls"), F.col("codes").alias("a"))
     b = texts.select("tbl", F.col("cls").alias("eval_cls"), F.col("codes").alias("b"))
     checked = near.join(a, ["tbl", "train_cls"]).join(b, ["tbl", "eval_cls"]).select("tbl", "train_cls", "eval_cls", _alike("a", "b").alias("share"))
