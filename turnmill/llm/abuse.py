@@ -204,16 +204,6 @@ class Index:
         return worst
 
 
-#: Further labelled examples (fixed values), for kinds that a short table of examples lacks.
-MORE = (
-    ("abusive", "somebody should put you down like a sick dog", "i hope you fall ill and suffer", "i hope your next surgery goes wrong and you feel every cut", "your parents must be ashamed that you were born", "nobody would miss you if you vanished", "everyone would be happier if you were dead",
-        "tus padres tendrían que haberte tirado a la basura", "nadie te echaría de menos", "tes parents auraient dû te jeter à la poubelle", "personne ne te regretterait si tu disparaissais", "deine eltern hätten dich in den müll werfen sollen", "niemand würde dich vermissen", "seus pais deviam ter jogado você no lixo", "cala a boca seu idiota", "заткнись идиот", "лучше бы ты сдох"),
-    ("hateful", "women have no business having opinions get back to the kitchen and obey", "those people dont belong among decent humans", "never trust them lying is in their blood", "i would burn down their whole quarter and sleep well", "send them all back where they came from they are filth",
-        "nunca te fíes de ellos mentir lo llevan en la sangre", "no hay que fiarse de esa gente lo llevan en la sangre", "ils mentent tous cest dans leur sang", "les femmes nont pas à avoir dopinion", "die lügen alle das liegt denen im blut", "frauen gehören in die küche und haben zu gehorchen", "eles mentem todos está no sangue deles", "они все врут это у них в крови"),
-    ("sexual", "she was naked and dripping wet begging him to take her harder", "sit on my face and let me taste you all night", "send nudes i want to see your tits", "mándame fotos desnuda quiero ver tus tetas", "envoie moi des photos nue je veux voir tes seins", "schick mir nacktfotos ich will deine titten sehen", "manda fotos nua quero ver seus peitos", "пришли голые фото хочу видеть твою грудь"),
-)
-
-
 def build_index(examples: list[tuple[object, str, str]], terms: list[tuple[str, str]]) -> Index:
     """Index of labelled examples (id, text, label) and of known terms (term, category).
 
@@ -233,7 +223,6 @@ def build_index(examples: list[tuple[object, str, str]], terms: list[tuple[str,
         key = max(range(len(ss)), key=lambda k: lean(ss[k])) if ss and y != "none" else -1
         entries += [(i, t, y if k == key else "none") for k, t in enumerate(ss)]
     entries += [(None, tokens(plain(t)), c) for t, c in terms if t and tokens(plain(t))]
-    entries += [(None, tokens(plain(t)), label) for label, *texts in MORE for t in texts]
     entries.sort(key=lambda e: (e[2] == "none", e[2], " ".join(e[1])))
     df = Counter(f for _, t, _ in entries for f in set(_features(t)))
     n = len(entries)
