@@ -92,6 +92,15 @@ def test_abuse(spark):
     assert got == {1: (True, 1), 2: (False, None), 3: (False, None), 4: (False, None)}
 
 
+def test_abuse_in_long_sentences(spark):
+    ex, terms = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("abuse_examples", "abuse_terms"))
+    idx = abuse.read_index(ex, "example_id", "text", "label", terms)
+    for t in ("She was naked and dripping wet, begging him to take her harder", "We painted fences beside seven lakes, you pathetic loser, because nothing else worked during those long grey winters"):
+        assert idx.score(t, {})[0] >= abuse.AFFECTED, t
+    for t in ("The moderators removed a comment calling somebody a moron, good call", "We painted fences beside seven lakes because nothing else worked during those long grey winters"):
+        assert idx.score(t, {})[0] < abuse.AFFECTED, t
+
+
 PERSONAL = [
     ("Mail me: jane.doe+x@mail.example.org.", {"email"}), ("Mail me: kwame (at) studio [dot] test", {"email"}), ("Call me on (617) 555-0143 after six.", {"phone"}), ("Ruf mich unter +49 30 23125964 an.", {"phone"}),
     ("They asked for my SSN 000-60-8821 on the form.", {"id_number"}), ("Ich musste die IBAN DE00 1889 7599 6825 6092 99 angeben.", {"id_number"}), ("I live at 62 Quince Drive, Apt 1, Ostermouth 00779 now.", {"address"}), ("Vivo en Calle Alondra Gris 94, 3º B.", {"address"}),

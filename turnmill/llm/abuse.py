@@ -26,6 +26,10 @@ BLOCK = 16
 AFFECTED = 0.5
 #: Cosine below which an example is no neighbour.
 NEAR = 0.3
+#: Words of the overlapping windows in which a longer sentence is looked up besides, and the steps between them.
+WINDOWS = ((4, 1), (8, 4))
+#: Cosine from which the nearest example of a window counts: one word among others that ordinary examples have too is not enough.
+NEAR_WINDOW = 0.4
 
 _SENTENCE = re.compile(r"[.!?…\n]+(?:\s|$)|\n+")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -78,6 +82,16 @@ def sentences(text: str) -> list[str]:
     return [x for x in _SENTENCE.split(plain(text)) if x and not x.isspace()]
 
 
+def spans(n: int) -> list[tuple[int, int]]:
+    """Ends of the windows of a sentence of ``n`` words, the last one at its end; none that is the whole sentence."""
+    return [(min(i, n - size), min(i, n - size) + size) for size, step in WINDOWS if n > size for i in range(0, n - size + step, step)]
+
+
+def clauses(toks: list[str]) -> list[list[str]]:
+    """A sentence and its windows."""
+    return [toks, *(toks[i:j] for i, j in spans(len(toks)))]
+
+
 def _features(toks: list[str]) -> Counter:
     return Counter(toks) + Counter(f"{a} {b}" for a, b in zip(toks, toks[1:], strict=False))
 
@@ -97,6 +111,8 @@ class Index:
     pair_reach: dict[str, dict[str, float]]
     scale: tuple[float, float] = (8.0, -4.0)
     positive: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
+    #: The same entries, and beside them the windows of sentences of label none; windows are looked up there.
+    windows: Index | None = None
 
     @property
     def last_positive(self) -> int:
@@ -169,11 +185,20 @@ class Index:
         a, b = self.scale
         return 1 / (1 + math.exp(-(a * margin + b))), label, next(x for s, x in near if self.labels[x] == label)
 
+    def window_vote(self, toks: list[str]) -> tuple[float, str, int]:
+        """The vote of a window, which needs a neighbour within ``NEAR_WINDOW``; the entry is that of this index."""
+        near = self.windows.neighbours(toks) if self.windows else []
+        if not near or near[0][0] < NEAR_WINDOW:
+            return 0.0, "none", -1
+        self.windows.scale = self.scale
+        return self.windows.vote(near)
+
     def score(self, text: str, memo: dict) -> tuple[float, str, int]:
         """Of the worst sentence of a text. ``memo`` keeps the words of a task.
 
-        A sentence is looked up only if the largest weights that its words and word pairs
-        have in any positive entry could reach a cosine of ``NEAR``.
+        A sentence is looked up whole and by windows, so that the words around a clause do not lower its
+        cosine; each only if the largest weights that its words and word pairs have in any positive entry
+        could reach a cosine of ``NEAR``.
         """
         worst = (0.0, "none", -1)
         text = plain(text)
@@ -183,6 +208,8 @@ class Index:
             bound = square = 0.0
             single = 0
             pairs = None
+            ws: list[str] = []
+            bounds, squares = [0.0], [0.0]
             for w in _TOKEN.findall(s):
                 got = memo.get(w)
                 if got is None:
@@ -197,8 +224,22 @@ class Index:
                     bound += pairs.get(got[2], 0.0)
                 pairs = got[3]
                 single += got[4]
-            if single > 3 or bound * bound >= NEAR * NEAR * square > 0:
-                got = self.vote(self.neighbours(tokens(s)))
+                ws.append(got[2])
+                bounds.append(bound)
+                squares.append(square)
+            if single > 3:
+                ws = tokens(s)
+                parts = clauses(ws)
+            elif bound:
+                parts = [ws] if bound * bound >= NEAR * NEAR * square else []
+                for i, j in spans(len(ws)):
+                    b = bounds[j] - bounds[i]
+                    if b > 0 and b * b >= NEAR_WINDOW * NEAR_WINDOW * (squares[j] - squares[i]):
+                        parts.append(ws[i:j])
+            else:
+                continue
+            for part in parts:
+                got = self.vote(self.neighbours(part)) if len(part) == len(ws) else self.window_vote(part)
                 if got[0] > worst[0]:
                     worst = got
         return worst
@@ -208,8 +249,8 @@ def build_index(examples: list[tuple[object, str, str]], terms: list[tuple[str,
     """Index of labelled examples (id, text, label) and of known terms (term, category).
 
     A positive example is mostly ordinary text around one sentence: the sentence whose words lean most to
-    positive examples is its entry, its other sentences and all those of ordinary examples are entries of
-    label none. The scores are calibrated on the examples, each judged without its own entries.
+    positive examples is its entry, its other sentences and all those of ordinary examples, with their windows,
+    are entries of label none. The scores are calibrated on the examples, each judged without its own entries.
     """
     split = [(i, [t for s in sentences(x or "") if (t := tokens(s))], y) for i, x, y in examples]
     pos, neg = Counter(), Counter()
@@ -219,14 +260,31 @@ def build_index(examples: list[tuple[object, str, str]], terms: list[tuple[str,
     n_pos, n_neg = max(1, sum(y != "none" for *_, y in split)), max(1, sum(y == "none" for *_, y in split))
     lean = lambda t: sum(math.log((pos[w] + 0.5) / (n_pos + 1)) - math.log((neg[w] + 0.5) / (n_neg + 1)) for w in t) / math.sqrt(len(t))
     entries: list[tuple[object, list[str], str]] = []
+    windows: list[tuple[object, list[str], str]] = []
     for i, ss, y in split:
         key = max(range(len(ss)), key=lambda k: lean(ss[k])) if ss and y != "none" else -1
         entries += [(i, t, y if k == key else "none") for k, t in enumerate(ss)]
+        windows += [(i, part, "none") for k, t in enumerate(ss) if k != key for part in clauses(t)[1:]]
     entries += [(None, tokens(plain(t)), c) for t, c in terms if t and tokens(plain(t))]
     entries.sort(key=lambda e: (e[2] == "none", e[2], " ".join(e[1])))
     df = Counter(f for _, t, _ in entries for f in set(_features(t)))
     n = len(entries)
     idf = {f: math.log((n + 1) / (k + 0.5)) * (0.6 if " " in f else 1.0) for f, k in df.items()}
+    unseen = math.log((n + 1) / 0.5)
+    words = defaultdict(list)
+    for w in sorted({w for t, _ in terms for w in _TOKEN.findall(plain(t))} | {w for _, x, y in examples if y != "none" for s in sentences(x or "") for w in _TOKEN.findall(s) if pos[folded(w)] and not neg[folded(w)]}):
+        words[len(w)].append(w)
+    # windows of ordinary text compete for the words of positive entries; positive entries keep their numbers
+    wanted = {w for _, t, y in entries if y != "none" for w in t}
+    more = sorted((e for e in windows if not wanted.isdisjoint(e[1])), key=lambda e: " ".join(e[1]))
+    idx = _indexed(entries, idf, unseen, dict(words))
+    idx.windows = _indexed(entries + more, idf, unseen, {})
+    idx.scale = _calibrated(idx, split)
+    return idx
+
+
+def _indexed(entries: list[tuple[object, list[str], str]], idf: dict[str, float], unseen: float, words: dict[int, list[str]]) -> Index:
+    n = len(entries)
     raw = defaultdict(list)
     for x, (_, t, _) in enumerate(entries):
         c = _features(t)
@@ -242,17 +300,12 @@ def build_index(examples: list[tuple[object, str, str]], terms: list[tuple[str,
         block_max[f] = m
     positive = np.array([y != "none" for *_, y in entries], bool)
     reach = {f: max(y for x, y in zip(e, w, strict=True) if positive[x]) for f, (e, w) in postings.items() if positive[e[0]]}
-    words = defaultdict(list)
-    for w in sorted({w for t, _ in terms for w in _TOKEN.findall(plain(t))} | {w for _, x, y in examples if y != "none" for s in sentences(x or "") for w in _TOKEN.findall(s) if pos[folded(w)] and not neg[folded(w)]}):
-        words[len(w)].append(w)
     pair_reach: dict[str, dict[str, float]] = defaultdict(dict)
     for f, w in reach.items():
         if " " in f:
             first, second = f.split(" ")
             pair_reach[first][second] = idf[f] * w
-    idx = Index([y for *_, y in entries], [i for i, *_ in entries], idf, math.log((n + 1) / 0.5), postings, block_max, reach, dict(words), dict(pair_reach), positive=positive)
-    idx.scale = _calibrated(idx, split)
-    return idx
+    return Index([y for *_, y in entries], [i for i, *_ in entries], idf, unseen, postings, block_max, reach, words, dict(pair_reach), positive=positive)
 
 
 def _calibrated(idx: Index, split: list) -> tuple[float, float]:
