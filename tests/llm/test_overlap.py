@@ -54,6 +54,21 @@ def test_against_all_pairs(spark):
     assert sum(x.overlapping for x in r) == len({x for ab in got for x in ab if not side[x]})
 
 
+def test_pairs_at_the_bound(spark):
+    """Every fifth word changed: four fifths of the words stand in order, with the fewest common shingles."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for i in range(300):
+        t = [word() for _ in range(120)]
+        rows.append(("t", 2 * i, "train", "s", _chain(" ".join(t))))
+        rows.append(("t", 2 * i + 1, "test", "s", _chain(" ".join(word() if k % 5 == 2 else w for k, w in enumerate(t)))))
+    df = spark.createDataFrame(rows, "tbl string, id long, split string, source string, conversation string").withColumn("is_train", F.col("split") == "train")
+    p = overlap.prepare(df, F.col("conversation"))
+    got = {(r.id_a, r.id_b) for r in overlap.cross_split_pairs(p, overlap.same_classes(p)).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(300)} and len(got) >= 298
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "tbl string, id long, split string, source string, conversation string, is_train boolean")
     p = overlap.prepare(df, F.col("conversation"))
