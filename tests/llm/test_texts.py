@@ -154,6 +154,16 @@ def test_defects(spark):
     assert sorted((r.branch, r.defect) for r in got.collect()) == [("chosen", "empty"), ("rejected", "empty")]
 
 
+def test_endings_are_counted_over_all_texts(spark):
+    """Copies of one text hold no evidence of their own, and many of them hide no other ending."""
+    texts = [f"Number {i} went to the market and bought it from his good friend kelda" for i in range(40)] + ["The same notice, again and again, for all of you to the"] * 60_000
+    df = spark.createDataFrame([(i, [t]) for i, t in enumerate(texts)], "key long, texts array<string>")
+    labelled = spark.createDataFrame([], "text string, lang string")
+    m = defects.fit(labelled, df)
+    assert m.ending(["good", "friend", "kelda"]) > 0.7
+    assert m.ending(["you", "to", "the"]) < defects.ENDING
+
+
 def test_leaks(spark):
     import random
 

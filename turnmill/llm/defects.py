@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -13,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnmill.llm.overlap import common_in_order
+from turnmill.llm.overlap import common_in_order, set_bits
 from turnmill.llm.words import Hashes, content, turns, words
+from turnmill.session import checkpointed
 
-#: Labelled texts per language, and texts for the endings, that the models are fitted on at most.
-SAMPLE_PER_LANGUAGE, SAMPLE_ENDINGS = 1_500, 20_000
+#: Labelled texts per language that the language model is fitted on at most.
+SAMPLE_PER_LANGUAGE = 1_500
+#: Bits of the filter of the wanted endings, and endings that a task counts before it passes them on.
+FILTER_BITS, HELD = 1 << 27, 500_000
 ORDERS = (1, 2, 3)
 #: Buckets of the hashed character n-grams.
 BUCKETS = 1 << 16
@@ -76,7 +80,8 @@ def grams(text: str) -> np.ndarray:
 class Model:
     languages: list[str]
     weights: np.ndarray
-    ends: dict[str, tuple[int, int]]
+    #: All texts (column text) whose endings count; they stay on the cluster.
+    texts: DataFrame | None
 
     def scores(self, text: str) -> tuple[np.ndarray, int]:
         """Log likelihood of each language per n-gram, and the letters."""
@@ -85,18 +90,77 @@ class Model:
         return (self.weights[:, g].mean(1) if len(g) else np.zeros(len(self.languages))), n
 
     def ending(self, toks: list[str]) -> float:
-        """Likelihood that a text ends after these words: three words, backed off to two and one.
+        """Likelihood that a text ends after these words; reads all texts."""
+        rows = self.texts.sparkSession.createDataFrame([tuple(tail(toks))], "g1 string, g2 string, g3 string")
+        return with_ending(rows, self.texts).first()["p"]
 
-        A last word that hardly ever ends anything decides alone: cut texts may end alike.
-        """
-        p = 0.03
-        for n in (1, 2, 3):
-            if len(toks) >= n:
-                e, k = self.ends.get(" ".join(toks[-n:]), (0, 0))
-                p = (e + PRIOR * p) / (k + PRIOR)
-                if n == 1 and p < NEVER:
-                    return p
-        return p
+
+def tail(toks: list[str]) -> list[str | None]:
+    """The last word, the last two and the last three."""
+    return [" ".join(toks[-n:]) if len(toks) >= n else None for n in (1, 2, 3)]
+
+
+def with_ending(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` (g1, g2, g3: their last words) with p, the likelihood of an end there: three words, backed off to two and one.
+
+    A last word that hardly ever ends anything decides alone: cut texts may end alike. Counted over all
+    different texts: copies are no evidence of their own, nor is what occurs only once. Only wanted endings
+    are counted, by a filter of bounded size, and they are joined on the cluster.
+    """
+    at = F.udf(lambda g: zlib.crc32(g.encode("utf-8", "replace")) & (FILTER_BITS - 1), "long")
+    wanted = rows.select(F.explode(F.array("g1", "g2", "g3")).alias("g")).filter("g is not null").distinct()
+    known = rows.sparkSession.sparkContext.broadcast(set_bits(wanted.select(at("g").alias("at")), FILTER_BITS))
+
+    def endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = known.value
+        c: Counter = Counter()
+        e: Counter = Counter()
+        memo: dict[str, bool] = {}
+
+        def is_wanted(g: str) -> bool:
+            k = zlib.crc32(g.encode("utf-8", "replace")) & (FILTER_BITS - 1)
+            return bool(bits[k >> 3] >> (7 - (k & 7)) & 1)
+
+        def counted() -> pd.DataFrame:
+            return pd.DataFrame({"g": list(c), "k": list(c.values()), "e": [e[g] for g in c]}).astype({"g": object, "k": "int64", "e": "int64"})
+
+        for b in batches:
+            for t in b["text"]:
+                two = one = ""
+                for m in _TOKEN.finditer(t.lower()):
+                    w = m[0].replace("’", "'")
+                    ok = memo.get(w)
+                    if ok is None:
+                        if len(memo) > HELD:
+                            memo.clear()
+                        ok = memo[w] = is_wanted(w)
+                    if ok:
+                        last = _BOUNDARY.match(t, m.end()) is not None
+                        c[w] += 1
+                        e[w] += last
+                        for g in (f"{one} {w}" if one else "", f"{two} {one} {w}" if two else ""):
+                            if not g or not is_wanted(g):
+                                break
+                            c[g] += 1
+                            e[g] += last
+                    two, one = one, w
+            if len(c) > HELD:
+                yield counted()
+                c.clear()
+                e.clear()
+        yield counted()
+
+    each = texts.filter("length(text) > 10").select("text").distinct().mapInPandas(endings, "g string, k long, e long")
+    counts = each.groupBy("g").agg(F.sum("k").alias("k"), F.sum("e").alias("e")).filter("k > 1")
+    counts = checkpointed(counts)
+    p = F.lit(0.03)
+    for n in (1, 2, 3):
+        rows = rows.join(counts.select(F.col("g").alias(f"g{n}"), F.col("k").alias(f"k{n}"), F.col("e").alias(f"e{n}")), f"g{n}", "left")
+        longer = (F.coalesce(f"e{n}", F.lit(0)) + PRIOR * p) / (F.coalesce(f"k{n}", F.lit(0)) + PRIOR)
+        p = F.when(F.col(f"g{n}").isNull(), p).otherwise(longer)
+        if n == 1:
+            first = p
+    return rows.withColumn("p", F.when(first < NEVER, first).otherwise(p)).drop(*(f"{x}{n}" for x in "gke" for n in (1, 2, 3)))
 
 
 def tokens(text: str) -> list[str]:
@@ -109,21 +173,20 @@ def _thinned(df: DataFrame, key: Column, share: float | Column) -> DataFrame:
 
 
 def fit(labelled: DataFrame, texts: DataFrame) -> Model:
-    """The models, from at most ``SAMPLE_PER_LANGUAGE`` rows (text, lang) a language and ``SAMPLE_ENDINGS`` texts.
+    """The language model, from at most ``SAMPLE_PER_LANGUAGE`` different rows (text, lang) a language, and the texts of the endings.
 
-    ``texts`` has a unique ``key`` and an array ``texts`` per row. The samples are drawn by hash: row counts
-    come first, a hash threshold then thins the tables while they are scanned to a few times the bound, and
-    only that remainder is ranked, so neither table is shuffled. Counting is done in the tasks; what reaches
-    the driver is bounded by the samples. Naive Bayes over character n-grams with equal priors is robust to
-    the few per cent of wrong labels.
+    ``texts`` has an array ``texts`` per row. The labelled sample is drawn by hash: numbers of different texts
+    come first, a hash threshold then thins the table while it is scanned to a few times the bound, and only
+    that remainder is ranked. Counting is done in the tasks; what reaches the driver is bounded by the sample.
+    Naive Bayes over character n-grams with equal priors is robust to the few per cent of wrong labels.
     """
     from pyspark.sql.window import Window
 
     named = labelled.filter("lang is not null and length(text) > 40")
-    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
     share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 4 * SAMPLE_PER_LANGUAGE / n))]), F.col("lang")), F.lit(0.0)) if sizes else F.lit(0.0)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = _thinned(named, F.col("text"), share).withColumn("r", rank).filter(F.col("r") <= SAMPLE_PER_LANGUAGE).select("lang", "text")
+    sample = _thinned(named, F.col("text"), share).select("lang", "text").distinct().withColumn("r", rank).filter(F.col("r") <= SAMPLE_PER_LANGUAGE).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tot: dict[str, np.ndarray] = {}
@@ -140,38 +203,26 @@ def fit(labelled: DataFrame, texts: DataFrame) -> Model:
     langs = sorted(k for k in counts if counts[k].sum() > 0)
     weights = np.stack([np.log((counts[k] + 0.5) / (counts[k].sum() + 0.5 * BUCKETS)) for k in langs]) if langs else np.zeros((0, BUCKETS))
 
-    def endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
-        e: Counter = Counter()
-        for b in batches:
-            for t in b["text"]:
-                prev: list[str] = []
-                for m in _TOKEN.finditer(t.lower()):
-                    prev = [*prev[-2:], m[0].replace("’", "'")]
-                    last = _BOUNDARY.match(t, m.end()) is not None
-                    for n in range(1, len(prev) + 1):
-                        g = " ".join(prev[-n:])
-                        c[g] += 1
-                        e[g] += last
-        yield pd.DataFrame({"g": list(c), "k": list(c.values()), "e": [e[g] for g in c]})
-
-    few = _thinned(texts, F.col("key"), min(1.0, SAMPLE_ENDINGS / max(1, texts.count())))
-    near = few.select(F.explode("texts").alias("text")).filter("length(text) > 10").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ENDINGS)
-    got = near.repartition(8).mapInPandas(endings, "g string, k long, e long").groupBy("g").agg(F.sum("k").alias("k"), F.sum("e").alias("e")).filter("k > 1")
-    return Model(langs, weights.astype(np.float32), {r["g"]: (r["e"], r["k"]) for r in got.toLocalIterator(prefetchPartitions=True)})
+    return Model(langs, weights.astype(np.float32), texts.select(F.explode("texts").alias("text")))
 
 
 def defect(model: Model, question: str | None, answer: str | None, code: Hashes) -> str | None:
     """The defect of one answer, or None."""
+    got, end = judged(model, question, answer, code)
+    return got if end is None else "truncated" if model.ending(end) < ENDING else None
+
+
+def judged(model: Model, question: str | None, answer: str | None, code: Hashes) -> tuple[str | None, list[str] | None]:
+    """The defect of one answer, or None; and its last words where these must decide whether it is truncated."""
     if answer is None:
-        return "empty"
+        return "empty", None
     shown = _INVISIBLE.sub(" ", answer).strip()
     if not shown or _REMOVED.fullmatch(shown):
-        return "empty"
+        return "empty", None
     own = _QUOTED_LINE.sub(" ", answer)
     w = words(own)
     if len(w) <= REFUSAL_WORDS and REFUSALS.search(" ".join(w)):
-        return "refusal"
+        return "refusal", None
     q = [code[x] for x in words(question)] if question else []
     a = [code[x] for x in words(answer)]
     if len(q) >= 3 and len(a) >= 3:
@@ -180,7 +231,7 @@ def defect(model: Model, question: str | None, answer: str | None, code: Hashes)
             n = common_in_order(q, a)
             # what is left of the answer must be no substance: a lead-in, a masked word, a cut end
             if n >= 0.8 * len(q) and len(a) - n <= max(3, 0.15 * len(q)):
-                return "copied_question"
+                return "copied_question", None
     if question and len(model.languages) > 1:
         bare = _URL.sub(" ", _QUOTED.sub(" ", answer))
         sa, na = model.scores(bare)
@@ -189,18 +240,17 @@ def defect(model: Model, question: str | None, answer: str | None, code: Hashes)
             if nq >= LETTERS:
                 la, lq = int(np.argmax(sa)), int(np.argmax(sq))
                 if la != lq and sa[la] - sa[lq] >= ODDS and sq[lq] - sq[la] >= ODDS:
-                    return "other_language"
+                    return "other_language", None
     end = _ORNAMENT.sub("", answer.rstrip()).rstrip()
     if end and not _END.search(end):
         line = end.rsplit("\n", 1)[-1].lstrip()
         if end[-1] in ",;:(-–—\\&«“„[{" or line[:1] in ("|", "{", "[") or end.count("```") % 2 or end[-200:].rfind("(") > end[-200:].rfind(")"):
-            return "truncated"
-        tail = _URL.search(end[-200:])
-        if tail and tail.end() == len(end[-200:]):
-            return None if _TOP.match(tail[0]) else "truncated"
-        if model.ending(tokens(end[-120:])) < ENDING:
-            return "truncated"
-    return None
+            return "truncated", None
+        url = _URL.search(end[-200:])
+        if url and url.end() == len(end[-200:]):
+            return (None if _TOP.match(url[0]) else "truncated"), None
+        return None, tokens(end[-120:])
+    return None, None
 
 
 def find_defects(pairs: DataFrame, model: Model, ident: str, fork: str, branches: dict[str, str]) -> DataFrame:
@@ -208,10 +258,12 @@ def find_defects(pairs: DataFrame, model: Model, ident: str, fork: str, branches
 
     The question is the last turn of ``fork``, the answer the first turn of the branch. A null or unreadable
     branch, one without turns and one with nothing visible are empty. A pair without a question can only be
-    empty, a refusal or truncated. The fitted models travel as a broadcast of bounded size. Nothing is shuffled.
+    empty, a refusal or truncated. The language model travels as a broadcast of bounded size; answers that their last words
+    must decide about are written to the shared folder and joined with the counts of endings.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField(ident, pairs.schema[ident].dataType), T.StructField("branch", T.StringType()), T.StructField("defect", T.StringType())])
+    shared = pairs.sparkSession.sparkContext.broadcast(replace(model, texts=None))
+    ends = ["g1", "g2", "g3"]
+    schema = T.StructType([T.StructField(ident, pairs.schema[ident].dataType), *(T.StructField(c, T.StringType()) for c in ("branch", "defect", *ends))])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, code = shared.value, Hashes()
@@ -222,9 +274,11 @@ def find_defects(pairs: DataFrame, model: Model, ident: str, fork: str, branches
                 q = content(f[-1]) if f else None
                 for k, name in enumerate(branches):
                     br = turns(row[2 + k])
-                    got = defect(m, q, content(br[0]) if br else None, code)
-                    if got:
-                        out.append((row[0], name, got))
-            yield pd.DataFrame(out, columns=[ident, "branch", "defect"])
-
-    return pairs.select(ident, fork, *branches.values()).mapInPandas(judge, schema)
+                    got, end = judged(m, q, content(br[0]) if br else None, code)
+                    if got or end is not None:
+                        out.append((row[0], name, got, *(tail(end) if end else (None,) * 3)))
+            yield pd.DataFrame(out, columns=[ident, "branch", "defect", *ends])
+
+    found = checkpointed(pairs.select(ident, fork, *branches.values()).mapInPandas(judge, schema))
+    cut = with_ending(found.filter("defect is null").drop("defect"), model.texts).filter(F.col("p") < ENDING)
+    return found.filter("defect is not null").drop(*ends).unionByName(cut.select(ident, "branch", F.lit("truncated").alias("defect")))

@@ -127,18 +127,14 @@ def prepare(df: DataFrame, conversation: Column) -> DataFrame:
     return checkpointed(p.filter(F.col("n") > 0))
 
 
-def _eval_filter(prepared: DataFrame) -> np.ndarray:
-    """Bits of the band keys of the evaluation side, a power of two up to ``FILTER_BITS``, put together by pieces in the tasks."""
-    ev = prepared.filter("not is_train and bands is not null")
-    keys = ev.agg(F.sum(F.size("bands"))).first()[0] or 0
-    bits = min(FILTER_BITS, max(1 << 20, 1 << (16 * keys).bit_length()))
+def set_bits(at: DataFrame, bits: int) -> np.ndarray:
+    """Packed bits, a power of two from 2^20 on, of which those at the positions ``at`` are set, put together by pieces in the tasks."""
 
     def piece(pos: pd.DataFrame) -> pd.DataFrame:
         b = np.zeros(1 << 20, bool)
         b[pos["low"].to_numpy()] = True
         return pd.DataFrame({"piece": [pos["piece"].iat[0]], "bits": [np.packbits(b).tobytes()]})
 
-    at = ev.select(F.explode("bands").alias("band")).select(F.col("band").bitwiseAND(F.lit(bits - 1)).alias("at"))
     parts = at.select(F.shiftright("at", 20).cast("int").alias("piece"), F.col("at").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("low")).groupBy("piece").applyInPandas(piece, "piece int, bits binary")
     out = np.zeros(bits >> 3, np.uint8)
     for r in parts.toLocalIterator():
@@ -146,6 +142,14 @@ def _eval_filter(prepared: DataFrame) -> np.ndarray:
     return out
 
 
+def _eval_filter(prepared: DataFrame) -> np.ndarray:
+    """Bits of the band keys of the evaluation side, a power of two up to ``FILTER_BITS``."""
+    ev = prepared.filter("not is_train and bands is not null")
+    keys = ev.agg(F.sum(F.size("bands"))).first()[0] or 0
+    bits = min(FILTER_BITS, max(1 << 20, 1 << (16 * keys).bit_length()))
+    return set_bits(ev.select(F.explode("bands").alias("band")).select(F.col("band").bitwiseAND(F.lit(bits - 1)).alias("at")), bits)
+
+
 def same_classes(prepared: DataFrame, same: float = SAME) -> DataFrame:
     """(tbl, train_cls, eval_cls, share): classes of equal word sequences that are the same across splits.
 
