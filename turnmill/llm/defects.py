@@ -100,11 +100,12 @@ def tail(toks: list[str]) -> list[str | None]:
     return [" ".join(toks[-n:]) if len(toks) >= n else None for n in (1, 2, 3)]
 
 
-def with_ending(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def with_ending(rows: DataFrame, texts: DataFrame, own: int = 0) -> DataFrame:
     """``rows`` (g1, g2, g3: their last words) with p, the likelihood of an end there: three words, backed off to two and one.
 
     A last word that hardly ever ends anything decides alone: cut texts may end alike. Counted over all
-    different texts: copies are no evidence of their own, nor is what occurs only once. Only wanted endings
+    different texts: copies are no evidence of their own, nor is what occurs only once. ``own`` is 1 where the
+    rows are ends of some of the texts, as no end is evidence for itself. Only wanted endings
     are counted, by a filter of bounded size, and they are joined on the cluster.
     """
     at = F.udf(lambda g: zlib.crc32(g.encode("utf-8", "replace")) & (FILTER_BITS - 1), "long")
@@ -156,7 +157,8 @@ def with_ending(rows: DataFrame, texts: DataFrame) -> DataFrame:
     p = F.lit(0.03)
     for n in (1, 2, 3):
         rows = rows.join(counts.select(F.col("g").alias(f"g{n}"), F.col("k").alias(f"k{n}"), F.col("e").alias(f"e{n}")), f"g{n}", "left")
-        longer = (F.coalesce(f"e{n}", F.lit(0)) + PRIOR * p) / (F.coalesce(f"k{n}", F.lit(0)) + PRIOR)
+        e, k = (F.greatest(F.coalesce(f"{x}{n}", F.lit(0)) - own, F.lit(0)) for x in "ek")
+        longer = (e + PRIOR * p) / (k + PRIOR)
         p = F.when(F.col(f"g{n}").isNull(), p).otherwise(longer)
         if n == 1:
             first = p
@@ -259,7 +261,7 @@ def find_defects(pairs: DataFrame, model: Model, ident: str, fork: str, branches
     The question is the last turn of ``fork``, the answer the first turn of the branch. A null or unreadable
     branch, one without turns and one with nothing visible are empty. A pair without a question can only be
     empty, a refusal or truncated. The language model travels as a broadcast of bounded size; answers that their last words
-    must decide about are written to the shared folder and joined with the counts of endings.
+    must decide about, which must be among the model's texts, are written to the shared folder and joined with the counts of endings.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(replace(model, texts=None))
     ends = ["g1", "g2", "g3"]
@@ -280,5 +282,5 @@ def find_defects(pairs: DataFrame, model: Model, ident: str, fork: str, branches
             yield pd.DataFrame(out, columns=[ident, "branch", "defect", *ends])
 
     found = checkpointed(pairs.select(ident, fork, *branches.values()).mapInPandas(judge, schema))
-    cut = with_ending(found.filter("defect is null").drop("defect"), model.texts).filter(F.col("p") < ENDING)
+    cut = with_ending(found.filter("defect is null").drop("defect"), model.texts, own=1).filter(F.col("p") < ENDING)
     return found.filter("defect is not null").drop(*ends).unionByName(cut.select(ident, "branch", F.lit("truncated").alias("defect")))
