@@ -74,13 +74,14 @@ def test_abuse(spark):
     import math
 
     def slow(toks):
-        q = abuse._features(toks)
-        norm = math.sqrt(sum((n * (idx.idf[f] if f in idx.idf else 0 if " " in f else idx.unseen)) ** 2 for f, n in q.items()))
+        q, idf = abuse._features(toks), idx.idf[""]
+        norm = math.sqrt(sum((n * (idf[f] if f in idf else 0 if " " in f else idx.unseen)) ** 2 for f, n in q.items()))
         dot = [0.0] * len(idx.ids)
         for f, n in q.items():
             for x, w in zip(*idx.postings.get(f, ((), ())), strict=True):
-                dot[x] += n * idx.idf[f] * w
-        near = sorted(((d / norm, x) for x, d in enumerate(dot) if d / norm >= abuse.NEAR), key=lambda t: (-t[0], t[1]))[: abuse.NEIGHBOURS]
+                dot[x] += n * idf[f] * w
+        telling = {f: n * idf[f] for f, n in q.items() if f in idf}
+        near = sorted(((d / norm, x) for x, d in enumerate(dot) if d / norm >= abuse.NEAR and (x >= len(idx.held) or idx._agree(telling, x))), key=lambda t: (-t[0], t[1]))[: abuse.NEIGHBOURS]
         return near if any(idx.positive[x] for _, x in near) else []
 
     for t in bad[:1] + ["they breed like rats in the shed", "i felt like a complete moron", "nobody would miss you at all"]:
@@ -92,6 +93,25 @@ def test_abuse(spark):
     assert got == {1: (True, 1), 2: (False, None), 3: (False, None), 4: (False, None)}
 
 
+def test_words_weigh_by_language(spark):
+    turn = lambda *texts: __import__("json").dumps([{"content": t} for t in texts])
+    rows = [(turn("die Katze", "die Maus"), "de")] * 300 + [(turn("the cat", "I hope you die"), "en")] * 100 + [(None, "en"), ("broken", None), (turn("die"), None)]
+    df = spark.createDataFrame(rows, "c string, lang string")
+    got = abuse.word_rates(df, "c", "lang", ["die", "cat", "dog"])
+    assert got["die", "de"] == 600 / 700 and got["die", "en"] == 100 / 300 and got["die", ""] == 600 / 700 and got["cat", "en"] == 100 / 300 and ("dog", "") not in got
+    idx = abuse.build_index([(1, "We met there.", "none", "en"), (2, "I hope you die.", "abusive", "en")], [], rates=got)
+    assert idx.idf["en"]["die"] > idx.idf["de"]["die"]
+
+
+def test_general_phrases_reach_other_wordings(spark):
+    """Whole patterns left out of the examples: what is found then comes from the general phrases and what is left."""
+    idx = abuse.build_index([(1, "The kettle boils.", "none"), (2, "It rained all day.", "none")], [])
+    for t in ("Honestly, you are nothing but a stupid clown", "я тебя найду и убью", "vou quebrar a tua cara amanhã", "Alle Ausländer sind Verbrecher, das weiß jeder", "il faut tuer les juifs"):
+        assert idx.score(t, {})[0] >= abuse.AFFECTED, t
+    for t in ("I am such a clown", "he called me a moron", "kill the process and start it again", "the refugees opened a bakery", "de repente o processo parou"):
+        assert idx.score(t, {})[0] < abuse.AFFECTED, t
+
+
 def test_abuse_in_long_sentences(spark):
     ex, terms = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("abuse_examples", "abuse_terms"))
     idx = abuse.read_index(ex, "example_id", "text", "label", terms)

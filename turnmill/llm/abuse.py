@@ -7,14 +7,16 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnmill.llm.phrases import examples as general_phrases
 from turnmill.llm.words import content, turns
 
 #: Labelled examples that are read at most; more raise an error.
@@ -24,12 +26,24 @@ NEIGHBOURS = 5
 BLOCK = 16
 #: A record is affected from this score on.
 AFFECTED = 0.5
+#: Least share of the turns of a language that a word counts as being in, and that of a word that no entry has.
+RAREST, UNKNOWN = 1e-4, 1e-3
+#: Turns added to those of a language, so that few turns say little about its words.
+MORE_TURNS = 100
+#: Weight of a pair of words against the mean of both.
+PAIR = 0.6
 #: Cosine below which an example is no neighbour.
 NEAR = 0.3
 #: Words of the overlapping windows in which a longer sentence is looked up besides, and the steps between them.
 WINDOWS = ((4, 1), (8, 4))
+#: Words from which a sentence is long: its nearest entry must be as near as that of a window.
+LONG = 8
 #: Cosine from which the nearest example of a window counts: one word among others that ordinary examples have too is not enough.
-NEAR_WINDOW = 0.4
+NEAR_WINDOW = 0.5
+
+#: Weight from which a word tells something. A positive entry is a neighbour only if two such words agree, or two words
+#: that stand side by side, or a listed term that no ordinary example has.
+TELLING = 2.0
 
 _SENTENCE = re.compile(r"[.!?…\n]+(?:\s|$)|\n+")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -102,15 +116,20 @@ class Index:
 
     labels: list[str]
     ids: list
-    idf: dict[str, float]
+    #: By language, and under "" for texts of none of these: the weights of words and pairs.
+    idf: dict[str, dict[str, float]]
     unseen: float
     postings: dict[str, tuple[list[int], list[float]]]
-    block_max: dict[str, np.ndarray]
+    #: Per feature the blocks that it is in, and its largest weight in each.
+    block_max: dict[str, tuple[np.ndarray, np.ndarray]]
     reach: dict[str, float]
     words: dict[int, list[str]]
-    pair_reach: dict[str, dict[str, float]]
+    pair_reach: dict[str, list[str]]
     scale: tuple[float, float] = (8.0, -4.0)
     positive: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
+    #: The features of each positive entry, and listed terms of one word.
+    held: list[frozenset[str]] = field(default_factory=list)
+    listed: frozenset[str] = frozenset()
     #: The same entries, and beside them the windows of sentences of label none; windows are looked up there.
     windows: Index | None = None
 
@@ -128,7 +147,7 @@ class Index:
 
         return _MASKED.sub(one, text)
 
-    def neighbours(self, toks: list[str], k: int = NEIGHBOURS, without=None) -> list[tuple[float, int]]:
+    def neighbours(self, toks: list[str], k: int = NEIGHBOURS, without=None, lang: str | None = "") -> list[tuple[float, int]]:
         """The ``k`` nearest entries with a cosine of ``NEAR`` or more, exactly.
 
         Nothing is looked up where even the sum of the largest weights of any positive entry stays below
@@ -137,8 +156,9 @@ class Index:
         q = _features(toks)
         norm = bound = 0.0
         weights = {}
+        idf = self.idf.get(lang) or self.idf[""]
         for f, n in q.items():
-            w = self.idf.get(f)
+            w = idf.get(f)
             if w is None:
                 norm += (n * self.unseen) ** 2 if " " not in f else 0.0
                 continue
@@ -149,7 +169,10 @@ class Index:
         norm = math.sqrt(norm)
         if not norm or bound < NEAR * norm:
             return []
-        bounds = sum(v * self.block_max[f] for f, v in weights.items())
+        bounds = np.zeros(max(1, -(-len(self.ids) // BLOCK)))
+        for f, v in weights.items():
+            at, most = self.block_max[f]
+            bounds[at] += v * most
         if bounds[: self.last_positive // BLOCK + 1].max() < NEAR * norm:
             return []
         best: list[tuple[float, int]] = []
@@ -164,10 +187,14 @@ class Index:
                 i, j = bisect_left(e, lo), bisect_left(e, hi)
                 for x, y in zip(e[i:j], w[i:j], strict=True):
                     dots[x] += v * y
-            best += [(d / norm, x) for x, d in dots.items() if d >= NEAR * norm and (without is None or self.ids[x] != without)]
+            best += [(d / norm, x) for x, d in dots.items() if d >= NEAR * norm and (without is None or self.ids[x] != without) and (x >= len(self.held) or self._agree(weights, x))]
             best = sorted(best, key=lambda t: (-t[0], t[1]))[:k]
         return best
 
+    def _agree(self, weights: dict[str, float], x: int) -> bool:
+        own = [f for f in self.held[x] if f in weights]
+        return any(" " in f or f in self.listed for f in own) or sum(weights[f] >= TELLING for f in own) > 1
+
     def vote(self, near: list[tuple[float, int]]) -> tuple[float, str, int]:
         """(score, label, entry) from neighbours weighted by closeness; 0, none where there is none."""
         if not near:
@@ -185,22 +212,24 @@ class Index:
         a, b = self.scale
         return 1 / (1 + math.exp(-(a * margin + b))), label, next(x for s, x in near if self.labels[x] == label)
 
-    def window_vote(self, toks: list[str]) -> tuple[float, str, int]:
+    def window_vote(self, toks: list[str], lang: str | None = "") -> tuple[float, str, int]:
         """The vote of a window, which needs a neighbour within ``NEAR_WINDOW``; the entry is that of this index."""
-        near = self.windows.neighbours(toks) if self.windows else []
+        near = self.windows.neighbours(toks, lang=lang) if self.windows else []
         if not near or near[0][0] < NEAR_WINDOW:
             return 0.0, "none", -1
         self.windows.scale = self.scale
         return self.windows.vote(near)
 
-    def score(self, text: str, memo: dict) -> tuple[float, str, int]:
-        """Of the worst sentence of a text. ``memo`` keeps the words of a task.
+    def score(self, text: str, memo: dict, lang: str | None = "") -> tuple[float, str, int]:
+        """Of the worst sentence of a text in a language. ``memo`` keeps the words of a task.
 
         A sentence is looked up whole and by windows, so that the words around a clause do not lower its
         cosine; each only if the largest weights that its words and word pairs have in any positive entry
         could reach a cosine of ``NEAR``.
         """
         worst = (0.0, "none", -1)
+        lang = lang if lang in self.idf else ""
+        idf, memo = self.idf[lang], memo.setdefault(lang, {})
         text = plain(text)
         if "*" in text or "#" in text or "%" in text:
             text = self.unmask(text)
@@ -216,8 +245,9 @@ class Index:
                     if len(memo) > 300_000:
                         memo.clear()
                     f = folded(w)
-                    v = self.idf.get(f)
-                    got = memo[w] = (self.unseen**2 if v is None else v * v, 0.0 if v is None else v * self.reach.get(f, 0.0), f, self.pair_reach.get(f), len(w) == 1)
+                    v = idf.get(f)
+                    pairs_of = {x: idf[f"{f} {x}"] * self.reach[f"{f} {x}"] for x in self.pair_reach.get(f, ())}
+                    got = memo[w] = (self.unseen**2 if v is None else v * v, 0.0 if v is None else v * self.reach.get(f, 0.0), f, pairs_of, len(w) == 1)
                 square += got[0]
                 bound += got[1]
                 if pairs:
@@ -239,81 +269,96 @@ class Index:
             else:
                 continue
             for part in parts:
-                got = self.vote(self.neighbours(part)) if len(part) == len(ws) else self.window_vote(part)
+                got = self.window_vote(part, lang) if len(part) < len(ws) else self.vote(near) if (near := self.neighbours(part, lang=lang)) and near[0][0] >= (NEAR if len(ws) <= LONG else NEAR_WINDOW) else worst
                 if got[0] > worst[0]:
                     worst = got
         return worst
 
 
-def build_index(examples: list[tuple[object, str, str]], terms: list[tuple[str, str]]) -> Index:
-    """Index of labelled examples (id, text, label) and of known terms (term, category).
+def build_index(examples: list[tuple], terms: list[tuple], general: Iterable[tuple[str, str, str]] | None = None, rates: dict[tuple[str, str], float] | None = None) -> Index:
+    """Index of labelled examples (id, text, label[, lang]), of known terms (term, category[, lang]) and of general phrases (lang:frame, phrase, label).
 
     A positive example is mostly ordinary text around one sentence: the sentence whose words lean most to
     positive examples is its entry, its other sentences and all those of ordinary examples, with their windows,
-    are entries of label none. The scores are calibrated on the examples, each judged without its own entries.
+    are entries of label none. ``rates`` has the shares of turns of a language that words are in, from ``word_rates``;
+    without it the entries themselves are counted. An entry weighs its words as its own language does.
+    The scores are calibrated on the examples, each judged without its own entries.
     """
-    split = [(i, [t for s in sentences(x or "") if (t := tokens(s))], y) for i, x, y in examples]
+    split = [(i, [t for s in sentences(x or "") if (t := tokens(s))], y, more[0] if more else "") for i, x, y, *more in examples]
+    phrases = [(f, t, y, f.split(":")[0]) for f, x, y in (general_phrases() if general is None else general) if (t := tokens(plain(x)))]
     pos, neg = Counter(), Counter()
-    for _, ss, y in split:
+    for _, ss, y, _ in split:
         for w in {w for t in ss for w in t}:
             (neg if y == "none" else pos)[w] += 1
-    n_pos, n_neg = max(1, sum(y != "none" for *_, y in split)), max(1, sum(y == "none" for *_, y in split))
+    n_pos, n_neg = max(1, sum(x[2] != "none" for x in split)), max(1, sum(x[2] == "none" for x in split))
     lean = lambda t: sum(math.log((pos[w] + 0.5) / (n_pos + 1)) - math.log((neg[w] + 0.5) / (n_neg + 1)) for w in t) / math.sqrt(len(t))
-    entries: list[tuple[object, list[str], str]] = []
-    windows: list[tuple[object, list[str], str]] = []
-    for i, ss, y in split:
+    entries: list[tuple[object, list[str], str, str]] = []
+    windows: list[tuple[object, list[str], str, str]] = []
+    for i, ss, y, lang in split:
         key = max(range(len(ss)), key=lambda k: lean(ss[k])) if ss and y != "none" else -1
-        entries += [(i, t, y if k == key else "none") for k, t in enumerate(ss)]
-        windows += [(i, part, "none") for k, t in enumerate(ss) if k != key for part in clauses(t)[1:]]
-    entries += [(None, tokens(plain(t)), c) for t, c in terms if t and tokens(plain(t))]
-    entries.sort(key=lambda e: (e[2] == "none", e[2], " ".join(e[1])))
-    df = Counter(f for _, t, _ in entries for f in set(_features(t)))
-    n = len(entries)
-    idf = {f: math.log((n + 1) / (k + 0.5)) * (0.6 if " " in f else 1.0) for f, k in df.items()}
-    unseen = math.log((n + 1) / 0.5)
+        entries += [(i, t, y if k == key else "none", lang) for k, t in enumerate(ss)]
+        windows += [(i, part, "none", lang) for k, t in enumerate(ss) if k != key for part in clauses(t)[1:]]
+    entries += phrases
+    windows += [(f, part, y, lang) for f, t, y, lang in phrases if y == "none" for part in clauses(t)[1:]]
+    entries += [(None, t, c, more[0] if more else "") for x, c, *more in terms if x and (t := tokens(plain(x)))]
+    entries.sort(key=lambda e: (e[2] == "none", e[2], " ".join(e[1]), e[3] or ""))
+    if rates is None:
+        rates = {(w, ""): k / len(entries) for w, k in Counter(w for e in entries for w in set(e[1])).items()}
     words = defaultdict(list)
-    for w in sorted({w for t, _ in terms for w in _TOKEN.findall(plain(t))} | {w for _, x, y in examples if y != "none" for s in sentences(x or "") for w in _TOKEN.findall(s) if pos[folded(w)] and not neg[folded(w)]}):
+    for w in sorted({w for t, *_ in terms for w in _TOKEN.findall(plain(t))} | {w for _, x, y, *_ in examples if y != "none" for s in sentences(x or "") for w in _TOKEN.findall(s) if pos[folded(w)] and not neg[folded(w)]}):
         words[len(w)].append(w)
     # windows of ordinary text compete for the words of positive entries; positive entries keep their numbers
-    wanted = {w for _, t, y in entries if y != "none" for w in t}
+    wanted = {w for e in entries if e[2] != "none" for w in e[1]}
     more = sorted((e for e in windows if not wanted.isdisjoint(e[1])), key=lambda e: " ".join(e[1]))
-    idx = _indexed(entries, idf, unseen, dict(words))
-    idx.windows = _indexed(entries + more, idf, unseen, {})
+    idf = _weights({f for e in entries + more for f in _features(e[1])}, rates)
+    listed = frozenset(w for x, *_ in terms if x and len(t := tokens(plain(x))) == 1 for w in t if not neg[w])
+    idx = _indexed(entries, idf, dict(words), listed)
+    idx.windows = _indexed(entries + more, idf, {}, listed)
     idx.scale = _calibrated(idx, split)
     return idx
 
 
-def _indexed(entries: list[tuple[object, list[str], str]], idf: dict[str, float], unseen: float, words: dict[int, list[str]]) -> Index:
-    n = len(entries)
+def _weights(features: set[str], rates: dict[tuple[str, str], float]) -> dict[str, dict[str, float]]:
+    """Per language, and for texts of none, the weights of words by their rates there, and of pairs by those of both words."""
+    out: dict[str, dict[str, float]] = {}
+    for lang in {x for _, x in rates} | {""}:
+        own = out[lang] = {f: -math.log(min(0.9, max(RAREST, rates.get((f, lang), 0.0)))) for f in features if " " not in f}
+        for f in features:
+            if " " in f:
+                first, second = f.split(" ")
+                own[f] = PAIR * (own[first] + own[second]) / 2
+    return out
+
+
+def _indexed(entries: list[tuple[object, list[str], str, str]], idf: dict[str, dict[str, float]], words: dict[int, list[str]], listed: frozenset[str]) -> Index:
     raw = defaultdict(list)
-    for x, (_, t, _) in enumerate(entries):
-        c = _features(t)
-        norm = math.sqrt(sum((m * idf[f]) ** 2 for f, m in c.items()))
+    for x, (_, t, _, lang) in enumerate(entries):
+        c, own = _features(t), idf.get(lang) or idf[""]
+        norm = math.sqrt(sum((m * own[f]) ** 2 for f, m in c.items()))
         for f, m in c.items():
-            raw[f].append((x, m * idf[f] / norm))
+            raw[f].append((x, m * own[f] / norm))
     postings = {f: ([x for x, _ in v], [w for _, w in v]) for f, v in raw.items()}
-    blocks = max(1, -(-n // BLOCK))
     block_max = {}
     for f, (e, w) in postings.items():
-        m = np.zeros(blocks)
-        np.maximum.at(m, np.array(e) // BLOCK, w)
-        block_max[f] = m
-    positive = np.array([y != "none" for *_, y in entries], bool)
+        at, start = np.unique(np.array(e) // BLOCK, return_index=True)
+        block_max[f] = (at, np.maximum.reduceat(w, start))
+    positive = np.array([e[2] != "none" for e in entries], bool)
     reach = {f: max(y for x, y in zip(e, w, strict=True) if positive[x]) for f, (e, w) in postings.items() if positive[e[0]]}
-    pair_reach: dict[str, dict[str, float]] = defaultdict(dict)
-    for f, w in reach.items():
+    pair_reach: dict[str, list[str]] = defaultdict(list)
+    for f in reach:
         if " " in f:
             first, second = f.split(" ")
-            pair_reach[first][second] = idf[f] * w
-    return Index([y for *_, y in entries], [i for i, *_ in entries], idf, unseen, postings, block_max, reach, words, dict(pair_reach), positive=positive)
+            pair_reach[first].append(second)
+    held = [frozenset(_features(e[1])) for e in entries if e[2] != "none"]
+    return Index([e[2] for e in entries], [e[0] for e in entries], idf, -math.log(UNKNOWN), postings, block_max, reach, words, dict(pair_reach), positive=positive, held=held, listed=listed)
 
 
 def _calibrated(idx: Index, split: list) -> tuple[float, float]:
     """Slope and offset of the score, by logistic regression on the examples judged without themselves."""
     xs, ys = [], []
     idx.scale = (1.0, 0.0)
-    for i, ss, y in split:
-        p = max((idx.vote(idx.neighbours(t, without=i))[0] for t in ss), default=0.0)
+    for i, ss, y, lang in split:
+        p = max((idx.vote(idx.neighbours(t, without=i, lang=lang))[0] for t in ss), default=0.0)
         xs.append(math.log(p / (1 - p)) if p else 0.0)
         ys.append(float(y != "none"))
     if not xs or len(set(ys)) < 2:
@@ -326,18 +371,71 @@ def _calibrated(idx: Index, split: list) -> tuple[float, float]:
     return a, b
 
 
-def read_index(examples: DataFrame, ident: str, text: str, label: str, terms: DataFrame | None = None, term: str = "term", category: str = "category") -> Index:
-    """The index of the labelled table, which must not exceed ``MAX_EXAMPLES`` rows, and of the terms, likewise."""
-    ex = examples.select(ident, text, label).limit(MAX_EXAMPLES + 1).collect()
-    ts = terms.select(term, category).limit(MAX_EXAMPLES + 1).collect() if terms is not None else []
+def word_rates(df: DataFrame, conversation: str, lang: str, vocabulary: Iterable[str]) -> dict[tuple[str, str], float]:
+    """Of each folded word of ``vocabulary`` and each language the share of its turns that the word is in; for "" the largest share.
+
+    All turns are counted, in the tasks; what the driver gets is bounded by the vocabulary and the languages.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, memo = shared.value, {}
+        n: Counter = Counter()
+        for b in batches:
+            for v, own in zip(b[conversation], b[lang], strict=True):
+                for t in turns(v):
+                    c = content(t)
+                    if not c:
+                        continue
+                    n["", own] += 1
+                    met = set()
+                    for w in set(_TOKEN.findall(plain(c))):
+                        f = memo.get(w)
+                        if f is None:
+                            if len(memo) > 300_000:
+                                memo.clear()
+                            f = folded(w)
+                            f = memo[w] = f if f in known else ""
+                        if f:
+                            met.add(f)
+                    for f in met:
+                        n[f, own] += 1
+        yield pd.DataFrame([(w, own, k) for (w, own), k in n.items()], columns=["word", "lang", "n"])
+
+    got = df.select(conversation, lang).mapInPandas(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).collect()
+    whole = {r["lang"]: r["n"] for r in got if not r["word"]}
+    rates: dict[tuple[str, str], float] = {}
+    for r in got:
+        if r["word"]:
+            share = r["n"] / (whole[r["lang"]] + MORE_TURNS)
+            rates[r["word"], ""] = max(rates.get((r["word"], ""), 0.0), share)
+            if r["lang"]:
+                rates[r["word"], r["lang"]] = share
+    return rates
+
+
+def read_index(examples: DataFrame, ident: str, text: str, label: str, terms: DataFrame | None = None, term: str = "term", category: str = "category", corpus: DataFrame | None = None, conversation: str = "conversation", lang: str = "lang") -> Index:
+    """The index of the labelled table, which must not exceed ``MAX_EXAMPLES`` rows, and of the terms, likewise.
+
+    Words weigh by their rates in ``corpus`` (``conversation``, ``lang``), where one is given.
+    """
+    own_lang = lambda d: F.col(lang) if lang in d.columns else F.lit("")
+    ex = examples.select(ident, text, label, own_lang(examples)).limit(MAX_EXAMPLES + 1).collect()
+    ts = terms.select(term, category, own_lang(terms)).limit(MAX_EXAMPLES + 1).collect() if terms is not None else []
     if max(len(ex), len(ts)) > MAX_EXAMPLES:
         raise ValueError(f"more than {MAX_EXAMPLES} labelled examples or terms")
-    return build_index(sorted((r[0], r[1], r[2] or "none") for r in ex if r[0] is not None), sorted((r[0], r[1]) for r in ts if r[0]))
+    own = sorted(((r[0], r[1], r[2] or "none", r[3] or "") for r in ex if r[0] is not None), key=lambda e: (e[0], e[1] or "")), sorted((r[0], r[1], r[2] or "") for r in ts if r[0])
+    if corpus is None:
+        return build_index(*own)
+    vocabulary = {w for x in [*(e[1] for e in own[0]), *(e[0] for e in own[1]), *(e[1] for e in general_phrases())] for s in sentences(x or "") for w in tokens(s)}
+    return build_index(*own, rates=word_rates(corpus, conversation, lang, vocabulary))
 
 
-def score_conversations(df: DataFrame, index: Index, ident: str, conversation: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def score_conversations(df: DataFrame, index: Index, ident: str, conversation: str, extra: tuple[str, ...] = (), lang: str | None = None) -> DataFrame:
     """(*extra, ``ident``, score, label, turn_no, example) of every row: its worst turn and the nearest example.
 
+    Words weigh as in the language that ``lang`` declares, where it is one that the index knows.
+
     Rows with null, broken or empty arrays score 0. The index travels as a broadcast whose size the limit on
     examples bounds; each turn is read whole, nothing is shuffled, repeated rows give repeated results.
     """
@@ -351,15 +449,15 @@ def score_conversations(df: DataFrame, index: Index, ident: str, conversation: s
         for b in batches:
             out = []
             keys = b[[*extra, ident]].itertuples(index=False, name=None)
-            for key, v in zip(keys, b[conversation], strict=True):
+            for key, v, own in zip(keys, b[conversation], b["__lang"], strict=True):
                 best, at = (0.0, "none", -1), -1
                 for no, t in enumerate(turns(v)):
                     c = content(t)
-                    if c and (got := idx.score(c, memo))[0] > best[0]:
+                    if c and (got := idx.score(c, memo, own))[0] > best[0]:
                         best, at = got, no
                 who = idx.ids[best[2]] if best[2] >= 0 else None
                 out.append((*key, best[0], best[1], at if at >= 0 else None, None if who is None else str(who)))
             got = pd.DataFrame(out, columns=[*extra, ident, "score", "label", "turn_no", "example"])
             yield got.astype({"turn_no": "Int64"})
 
-    return df.select(*extra, ident, conversation).mapInPandas(judge, schema)
+    return df.select(*extra, ident, conversation, (F.col(lang) if lang else F.lit("")).alias("__lang")).mapInPandas(judge, schema)

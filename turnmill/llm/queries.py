@@ -104,9 +104,10 @@ def p4_totals(spark: SparkSession, d: str) -> DataFrame:
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every record with its score, the label, turn and nearest labelled example of its worst turn."""
     own = [("sft_chains_scored", "chain_id", "turns"), ("dpo_final", "pair_id", "chosen_branch")]
-    a, b = (table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(i).alias("rec_id"), source_key("source").alias("source"), F.col(c).alias("conversation")) for t, i, c in own)
-    index = abuse.read_index(table(spark, d, "abuse_examples"), "example_id", "text", "label", table(spark, d, "abuse_terms"))
-    return abuse.score_conversations(a.unionByName(b), index, "rec_id", "conversation", ("tbl", "source"))
+    a, b = (table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(i).alias("rec_id"), source_key("source").alias("source"), F.col(c).alias("conversation"), language_key("lang").alias("lang")) for t, i, c in own)
+    both = a.unionByName(b)
+    index = abuse.read_index(table(spark, d, "abuse_examples"), "example_id", "text", "label", table(spark, d, "abuse_terms"), corpus=both)
+    return abuse.score_conversations(both, index, "rec_id", "conversation", ("tbl", "source"), "lang")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
