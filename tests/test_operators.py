@@ -71,10 +71,47 @@ def test_swap_and_rewrite(spark):
     s = {r.pair_id: r.swapped for r in pairs.swap_where_needed(df).collect()}
     assert s == {1: True, 2: False, 3: False, 4: False}
     assert [(r.turn_no, r.target) for r in rewrite.length_requests(df, "pair_id").collect()] == [(0, 20)]
-    out = {r.pair_id: r for r in rewrite.rewrite_pairs(df, "pair_id", rewrite.echo_generator, keep_unmatched=True).collect()}
+    raw = _pairs(spark).withColumn("rejected_branch", F.regexp_replace("rejected_branch", r'"score"', '"kept": {"x": null}, "score"'))
+    rewritten = rewrite.rewrite_all(raw, "pair_id", rewrite.echo_generator)
+    out = {r.pair_id: r for r in rewritten.collect()}
     assert set(out) == {1, 2, 3, 4} and out[2].asst_replacements == 1 and out[1].user_replacements == 1 and out[3].asst_replacements == 0
-    assert out[2].rejected_branch[0].synthetic
-    assert pairs.assemble(df).columns == pairs.PAIR.fieldNames()
+    turn = json.loads(out[2].rejected_branch)[0]
+    assert turn["synthetic"] and turn["kept"] == {"x": None} and turn["score"] == 9
+    assert {r.pair_id for r in rewrite.rewrite_pairs(raw, "pair_id", rewrite.echo_generator).collect()} == {i for i, r in out.items() if r.length_matched}
+    summary = rewrite.run_summary(rewritten).first()
+    assert (summary.input, summary.kept + summary.dropped, summary.skipped) == (4, 4, 2)
+    assert pairs.assemble(rewritten).columns == pairs.PAIR.fieldNames()
+
+
+def test_batches_have_equal_limits(spark):
+    rows = [(i, i % 3, 10 + i % 5, [("user", "x")], 1 + i % 4, 32 + i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, turn_no int, target int, prompt array<struct<role:string,content:string>>, min_tokens int, max_new_tokens int")
+
+    def generator(batches):
+        for b in batches:
+            assert b[["min_tokens", "max_new_tokens"]].drop_duplicates().shape[0] == 1
+            yield b["k"].astype(str) + "\t \n"
+
+    got = rewrite.generate(df, "k", generator).collect()
+    assert sorted((r.k, r.text) for r in got) == [(i, str(i)) for i in range(300)]
+
+
+def test_limit_takes_the_same_rows(spark):
+    df = spark.createDataFrame([(i, f"s{i % 2}", None) for i in range(200)], "k int, source string, subreddit string")
+    want = {r.k for r in pairs.select_pairs(df, source="s1", limit=20).collect()}
+    assert len(want) == 20 and want == {r.k for r in pairs.select_pairs(df.repartition(7).orderBy(F.desc("k")), source="s1", limit=20).collect()}
+    assert [r.k for r in pairs.select_pairs(df, source="s1", limit=3, order="k").orderBy("k").collect()] == [1, 3, 5]
+
+
+def test_checkpoint_folder(spark):
+    from types import SimpleNamespace
+
+    from turnmill.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://far:7077")
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(sparkContext=far))
 
 
 def test_two_slots_share_the_difference(spark):
@@ -93,9 +130,11 @@ def test_filters_and_optional_columns(spark):
 
 def test_branch_checks(spark):
     got = tokens.branch_checks(pairs.typed(_pairs(spark)), "pair_id")
-    assert got.count() == 4 * 2 * 5
-    assert got.filter("check = 'prefix' and status = 'FAIL'").count() == 0
+    assert got.count() == 4 * 2 * 7
+    # the prompt for an answer is no prefix of a branch that starts on the user, nor of an empty one
+    assert sorted((r.pair_id, r.branch) for r in got.filter("check = 'prefix' and status = 'FAIL'").collect()) == [(1, "chosen"), (1, "rejected"), (4, "chosen"), (4, "rejected")]
     assert {r.pair_id for r in got.filter("check = 'response' and status = 'FAIL'").collect()} == {4}
+    assert {r.pair_id for r in tokens.branch_checks(pairs.typed(_pairs(spark)), "pair_id", max_length=3).filter("check = 'response' and status = 'FAIL'").collect()} == {1, 2, 3, 4}
 
 
 def test_sinks_and_loaders(spark, tmp_path):

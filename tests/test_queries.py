@@ -9,7 +9,7 @@ from turnmill.plans import catalog
 
 
 def _value(v):
-    if v is None or isinstance(v, float) and v != v:
+    if v is None:
         return "null"
     if isinstance(v, float):
         return f"{v:.6f}".rstrip("0").rstrip(".")

@@ -11,15 +11,27 @@ from turnmill.sources.tables import non_empty, scan
 PAIR_KEYS = ("weight_beta", "weight_mode", "min_score_delta", "chosen_weighting", "test_split", "seed")
 
 
-def overlaid(config: dict, profile: str | None = None) -> dict:
-    """``config`` with the sections of ``config["profiles"][profile]`` laid over it. ``KeyError`` for an unknown profile."""
+def overlaid(config: dict, profile: str | None = None, model: str | None = None) -> dict:
+    """``config`` with the sections of ``config["profiles"][profile]`` laid over it, and the name of a model preset.
+
+    Values of a profile that are no section go into ``training``. ``KeyError`` for an unknown profile, ``ValueError`` for an
+    unknown ``model``.
+    """
     out = {k: dict(v) if isinstance(v, dict) else v for k, v in config.items() if k != "profiles"}
     for section, values in (config.get("profiles", {})[profile] if profile else {}).items():
-        out[section] = {**out.get(section, {}), **values} if isinstance(values, dict) else values
+        if isinstance(values, dict):
+            out[section] = {**out.get(section, {}), **values}
+        else:
+            out["training"] = {**out.get("training", {}), section: values}
+    if model:
+        presets = config.get("model_presets", {})
+        if model not in presets:
+            raise ValueError(f"no model preset {model!r}")
+        out["model"] = {**out.get("model", {}), "name": presets[model]["name"]}
     return out
 
 
-def load_config(path: str, profile: str | None = None) -> dict:
+def load_config(path: str, profile: str | None = None, model: str | None = None) -> dict:
     """A YAML file, where a YAML reader is installed, else JSON."""
     with open(path) as f:
         try:
@@ -27,8 +39,8 @@ def load_config(path: str, profile: str | None = None) -> dict:
         except ImportError:
             import json
 
-            return overlaid(json.load(f), profile)
-        return overlaid(yaml.safe_load(f), profile)
+            return overlaid(json.load(f), profile, model)
+        return overlaid(yaml.safe_load(f), profile, model)
 
 
 def load_sft(spark: SparkSession, path: str, key: str, min_chain_depth: int = 3, min_total_score: float = 0.0, weight_beta: float = 0.3, weight_mode: str = "gate_amplify", weight_floor: float = 0.1, weight_max: float | None = 3.0, test_split: float = 0.05, seed: int = 42) -> DataFrame:

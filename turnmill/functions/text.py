@@ -76,8 +76,8 @@ def truncate_at_boundary(c: Column, n: Column) -> Column:
 
 
 def truncate_overlong(c: Column, target: Column) -> Column:
-    """The trimmed text, truncated where it is longer than 1.3 times a positive target."""
-    t = F.trim(c)
+    """The text without white space at its ends, truncated where it is longer than 1.3 times a positive target."""
+    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     return F.when((target > 0) & (F.length(t) > (target * 1.3).cast("int")), truncate_at_boundary(t, target)).otherwise(t)
 
 

@@ -5,14 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnmill.schemas import TURNS
+from turnmill.schemas import TURNS, WHOLE
 
 
 def decode(json: Column | str, strict: bool = False) -> Column:
-    """Turns of a JSON string. Broken JSON is null, or an error with ``strict``; unknown keys are left out."""
+    """Turns of a JSON string. Broken JSON is null, or an error with ``strict``; unknown keys are left out, which ``decode_whole`` keeps."""
     return F.from_json(json, TURNS, {"mode": "FAILFAST"} if strict else {})
 
 
+def decode_whole(json: Column | str) -> Column:
+    """Turns of a JSON string with every key they have, as maps of variants; ``encode`` loses nothing of them."""
+    return F.from_json(json, WHOLE)
+
+
+def encode(whole: Column) -> Column:
+    """JSON of turns from ``decode_whole``: equal in value, keys that were set anew stand last."""
+    return F.to_json(whole)
+
+
+def put(turn: Column, **values: Column) -> Column:
+    """A turn from ``decode_whole`` with keys set; all other keys stay."""
+    kept = F.map_filter(turn, lambda k, _: ~k.isin(*values))
+    return F.map_concat(kept, F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("variant"))]))
+
+
+def text_of(turn: Column, key: str) -> Column:
+    """The string at a key of a turn from ``decode_whole``; null where there is none."""
+    return F.try_variant_get(turn[key], "$", "string")
+
+
 def strip(turns: Column) -> Column:
     """Only role and content of each turn."""
     return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
@@ -56,9 +77,14 @@ def alternates(turns: Column) -> Column:
     return F.when(F.size(turns) >= 2, ~F.coalesce(same, F.lit(False))).otherwise(F.lit(True))
 
 
-def embed_scores(turns: Column, scores: Column) -> Column:
-    """``attunement_score`` of the turns whose number is a key of the map ``scores``, rounded to 6 digits."""
-    return F.transform(turns, lambda t, i: F.when(F.map_contains_key(scores, i), t.withField("attunement_score", F.bround(scores[i], 6))).otherwise(t))
+def embed_scores(whole: Column, scores: Column) -> Column:
+    """``attunement_score`` of the turns whose number is a key of the map ``scores``, rounded to 6 digits; from ``decode_whole``."""
+    return F.transform(whole, lambda t, i: F.when(F.map_contains_key(scores, i), put(t, attunement_score=F.bround(scores[i], 6))).otherwise(t))
+
+
+def replace_texts(whole: Column, texts: Column) -> Column:
+    """Contents of the turns whose number is a key of the map ``texts``, which become synthetic; from ``decode_whole``."""
+    return F.transform(whole, lambda t, i: F.when(F.map_contains_key(texts, i), put(t, content=texts[i], synthetic=F.lit(True))).otherwise(t))
 
 
 def synthetic_slots(turns: Column) -> Column:

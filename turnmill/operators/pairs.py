@@ -51,14 +51,18 @@ def touched(df: DataFrame) -> Column:
     return (n[0] > 0) | (n[1] > 0)
 
 
-def select_pairs(df: DataFrame, source: str = "", subreddit: str = "", post_id: str = "", synthetic_only: bool = False, untouched_only: bool = False, limit: int = 0, order: str | None = None) -> DataFrame:
-    """Pairs by equality on source, subreddit and post, by rewriting, and at most ``limit``. Empty arguments filter nothing."""
+def select_pairs(df: DataFrame, source: str = "", subreddit: str = "", post_id: str = "", synthetic_only: bool = False, untouched_only: bool = False, limit: int = 0, order: str | list[str] | None = None) -> DataFrame:
+    """Pairs by equality on source, subreddit and post, by rewriting, and at most ``limit``. Empty arguments filter nothing.
+
+    The limit takes the first rows by ``order``; without one, by a hash of the whole row, so that every run takes the same.
+    """
     for c, v in (("source", source), ("subreddit", subreddit)):
         df = df.filter(F.col(c) == v) if v else df
     df = df.filter(F.col("post_id").cast("string") == str(post_id)) if post_id else df
     df = df.filter(touched(df)) if synthetic_only else df
     df = df.filter(~touched(df)) if untouched_only else df
-    return (df.orderBy(order) if order else df).limit(limit) if limit else df
+    first = [order] if isinstance(order, str) else list(order) if order else [F.xxhash64(*df.columns), *df.columns]
+    return df.orderBy(*first).limit(limit) if limit else df
 
 
 def swap_where_needed(df: DataFrame) -> DataFrame:
@@ -72,15 +76,19 @@ def swap_statistics(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("swapped").alias("swapped"), F.count_if(~F.col("swapped")).alias("already_ok"))
 
 
-def assemble(df: DataFrame) -> DataFrame:
-    """The 19 columns of a rewritten pair, in order and typed; ``rejected_depth`` is the length of the array. Branches are typed on input."""
-    out = df.withColumn("rejected_depth", F.coalesce(F.size("rejected_branch"), F.lit(0)))
-    out = out.withColumn("chosen_chars", turns.chars(F.col("chosen_branch"))).withColumn("rejected_chars", turns.chars(F.col("rejected_branch")))
+def assemble(df: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and the 19 columns of a rewritten pair, in order and typed; all other columns are dropped.
+
+    Branches are JSON, and stay as they are written; unreadable ones become null. ``rejected_depth`` is the length of the array.
+    """
+    chosen, rejected = turns.decode("chosen_branch"), turns.decode("rejected_branch")
+    out = df.withColumn("rejected_depth", F.coalesce(F.size(rejected), F.lit(0)))
+    out = out.withColumn("chosen_chars", turns.chars(chosen)).withColumn("rejected_chars", turns.chars(rejected))
     for c in ("asst_replacements", "user_replacements"):
         out = with_optional(out, c, F.lit(0))
     out = with_optional(out, "length_matched", F.lit(True))
     json = {"fork", "chosen_branch", "rejected_branch"}
-    return out.select(*[(F.to_json(f.name) if f.name in json else F.col(f.name).cast(f.dataType)).alias(f.name) for f in PAIR.fields])
+    return out.select(*keep, *[(F.when(turns.decode(f.name).isNotNull(), F.col(f.name)) if f.name in json else F.col(f.name).cast(f.dataType)).alias(f.name) for f in PAIR.fields])
 
 
 def display_subreddit(c: str = "subreddit") -> Column:

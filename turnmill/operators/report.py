@@ -75,9 +75,26 @@ def synthesis_statistics(df: DataFrame) -> DataFrame:
     )
 
 
+def _replacements(df: DataFrame) -> DataFrame:
+    """(role, replacements) of pairs in which turns of a role were replaced."""
+    own = [F.struct(F.lit(k).alias("role"), (F.col(c) if c in df.columns else F.lit(0)).cast("long").alias("replacements")) for k, c in (("assistant", "asst_replacements"), ("user", "user_replacements"))]
+    return df.select(F.explode(F.array(*own)).alias("x")).select("x.*").filter("replacements > 0")
+
+
 def replacement_distribution(df: DataFrame) -> DataFrame:
-    n = F.coalesce("asst_replacements", F.lit(0)) + F.coalesce("user_replacements", F.lit(0))
-    return df.select(n.alias("replacements")).filter("replacements > 0").groupBy("replacements").agg(F.count(F.lit(1)).alias("rows"))
+    """Pairs by the number of their replaced turns, of the assistant and of the user."""
+    return _replacements(df).groupBy("role", "replacements").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def replacement_statistics(df: DataFrame) -> DataFrame:
+    """Pairs with replaced turns of a role, and mean, median and most of their numbers."""
+    n = F.col("replacements")
+    return _replacements(df).groupBy("role").agg(F.count(F.lit(1)).alias("pairs"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.max(n).alias("most"))
+
+
+def community_count(df: DataFrame) -> DataFrame:
+    """Number of different communities, as they are shown."""
+    return df.agg(F.countDistinct(display_subreddit()).alias("communities"))
 
 
 def synthetic_flags(df: DataFrame) -> DataFrame:

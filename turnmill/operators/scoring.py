@@ -53,9 +53,21 @@ def chain_alignment(df: DataFrame, key: str, scores: DataFrame) -> DataFrame:
     return df.select(key).join(means, key, "left").select(key, F.coalesce("m", F.lit(0.0)).cast("float").alias("attunement_score"))
 
 
-def embed_alignment(df: DataFrame, key: str, conversation: Column, scores: DataFrame, into: str = "turns") -> DataFrame:
-    """``df`` with its conversation typed and the scores written into the turns, and the chain score appended."""
+def embed_alignment(df: DataFrame, key: str, scores: DataFrame, column: str | None = "turns") -> DataFrame:
+    """``df`` with the scores written into the turns of the JSON ``column``, if one is named, and the chain score appended.
+
+    Turns keep all their keys; rows without a score keep their string byte for byte.
+    """
     per = scores.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("turn_no", "alignment"))).alias("__s"), F.avg("alignment").alias("__m"))
-    joined = df.withColumn(into, conversation).join(per, key, "left")
-    embedded = F.when(F.col("__s").isNull(), F.col(into)).otherwise(turns.embed_scores(F.col(into), F.col("__s")))
-    return joined.withColumn(into, embedded).withColumn("attunement_score", F.coalesce("__m", F.lit(0.0)).cast("float")).drop("__s", "__m")
+    out = df.join(per, key, "left")
+    if column:
+        embedded = turns.encode(turns.embed_scores(turns.decode_whole(column), F.col("__s")))
+        out = out.withColumn(column, F.when(F.col("__s").isNull(), F.col(column)).otherwise(embedded))
+    return out.withColumn("attunement_score", F.coalesce("__m", F.lit(0.0)).cast("float")).drop("__s", "__m")
+
+
+def boundary_pairs(prompt: Column, chosen: Column) -> Column:
+    """The conversation of an older row: ``prompt`` and ``chosen`` (JSON) as one, so that a pair may straddle the boundary."""
+    none = F.array().cast(turns.TURNS)
+    whole = F.concat(F.coalesce(turns.decode(prompt), none), F.coalesce(turns.decode(chosen), none))
+    return F.when(F.size(whole) > 0, whole)

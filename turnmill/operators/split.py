@@ -37,6 +37,11 @@ def train_test(df: DataFrame, key: str, share: float = 0.05, seed: int = 42) ->
     return rest.unionByName(ranked).drop("__h", "__b")
 
 
+def first(df: DataFrame, key: str, is_test: bool) -> DataFrame:
+    """The row with the least key of one side of a split, or none."""
+    return df.filter(F.col("is_test") == is_test).orderBy(key).limit(1)
+
+
 def sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """``k`` rows without replacement, those with the least md5; a distributed top-k."""
     return df.orderBy(_hash(F.col(key), seed)).limit(k)

@@ -57,6 +57,10 @@ def normalise_weight(df: DataFrame, column: str = "chosen_weight", most: float |
 
 
 def weight_statistics(df: DataFrame, column: str = "turn_weights") -> DataFrame:
-    """Mean, standard deviation, least and largest positive weight."""
-    w = df.select(F.explode(column).alias("w")).filter("w > 0")
+    """Number, mean, standard deviation, least and largest positive weight, of an array or a number per row.
+
+    Of the rows as they are: loaders report them after normalising and clamping.
+    """
+    each = F.explode(column) if df.schema[column].dataType.typeName() == "array" else F.col(column)
+    w = df.select(each.alias("w")).filter("w > 0")
     return w.agg(F.count("w").alias("n"), F.avg("w").alias("mean"), F.stddev_pop("w").alias("std"), F.min("w").alias("least"), F.max("w").alias("largest"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.functions import text, turns
 from turnmill.operators import pairs, report, rewrite, scoring, split, tokens, weights
+from turnmill.sources import sinks, tables
 from turnmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +44,10 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
+def _keys(turn):
+    return F.array_join(F.array_sort(F.map_keys(turn)), ",")
+
+
 _ADJ = """unnest(list_filter(list_transform(range(1, len(t)), lambda i: {'u': t[i], 'a': t[i + 1], 'n': i}), lambda x: x.u.role = 'user' and x.a.role = 'assistant')) as x"""
 
 
@@ -102,12 +108,17 @@ def chain_alignment_stats(s, d):
     return df.select(*[F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-@query()
+@query(_ALIGN + """, c as (select chain_id, avg(alignment) as m from g group by all), r as (select chain_id, json_extract(turns, '$[*]') as js from sft_chains_scored where json_valid(turns) and json_type(turns) = 'ARRAY'),
+ j as (select chain_id, generate_subscripts(js, 1) - 1 as turn_no, unnest(js) as j from r)
+ select j.chain_id, j.turn_no::int as turn_no, array_to_string(list_sort(list_distinct(list_concat(json_keys(j), case when g.alignment is null then [] else ['attunement_score'] end))), ',') as keys,
+ coalesce(round_even(g.alignment, 6), round(try_cast(j->>'attunement_score' as double), 6)) as turn_score, round(coalesce(m, 0)::float::double, 5) as attunement_score from j left join g using (chain_id, turn_no) left join c using (chain_id)""")
 def embed_turn_scores(s, d):
-    """Chains with the alignment written into their turns."""
+    """Chains with the alignment written into their turns: per turn its keys, which all survive, and its score."""
     df = table(s, d, "sft_chains_scored").drop("attunement_score")
-    out = scoring.embed_alignment(df, "chain_id", turns.decode("turns"), _alignment(s, d))
-    return out.select("chain_id", F.to_json("turns").alias("turns"), F.round(F.col("attunement_score").cast("double"), 5).alias("attunement_score"))
+    out = scoring.embed_alignment(df, "chain_id", _alignment(s, d))
+    t = out.select("chain_id", "attunement_score", F.posexplode(turns.decode_whole("turns")).alias("turn_no", "t"))
+    score = F.round(F.try_variant_get(F.col("t")["attunement_score"], "$", "double"), 6)
+    return t.select("chain_id", "turn_no", _keys(F.col("t")).alias("keys"), score.alias("turn_score"), F.round(F.col("attunement_score").cast("double"), 5).alias("attunement_score"))
 
 
 def _weight_sql(mode: str, floor: float, t: str = "t") -> str:
@@ -148,9 +159,10 @@ def sft_norm_v1(s, d):
     return _norm(s, d, None)
 
 
-@query(_KEPT + " select count(*) as n, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, round(min(x), 6) as least, round(max(x), 6) as largest from (select unnest(w) as x from k) where x > 0")
+@query(_KEPT + ", c as (select case when sd <= 1e-8 then 1 else least(x / mean, 3) end as x from (select unnest(w) as x from k), m where x > 0) select count(*) as n, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, round(min(x), 6) as least, round(max(x), 6) as largest from c")
 def weight_stats(s, d):
-    return _rounded(weights.weight_statistics(pairs.sft_rows(table(s, d, "sft_chains_scored"))))
+    """Positive turn weights after normalising and clamping."""
+    return _rounded(weights.weight_statistics(weights.normalise_turn_weights(pairs.sft_rows(table(s, d, "sft_chains_scored")))))
 
 
 @query("select chain_id, chain_depth, total_score from sft_chains_scored where chain_depth >= 3 and total_score >= 0 and json_valid(turns)")
@@ -189,9 +201,26 @@ for _name, _most in (("dpo_norm_v2", 2.0), ("dpo_norm_v1", None)):
     query(f"{_P}, k as (select pair_id, {_EX} as w from p where {_DPO}), st as (select avg(w) as m, stddev_pop(w) as sd from k) select pair_id, round(case when sd <= 1e-8 then 1 else {_x} end, 6) as chosen_weight from k, st", _name)(lambda s, d, most=_most: _dpo_norm(s, d, most))
 
 
-@query(f"select pair_id, score_delta from dpo_final where {_DPO}")
+@query(f"select pair_id, case when isnan(score_delta) then null else score_delta end as score_delta from dpo_final where {_DPO}")
 def dpo_filter(s, d):
-    return pairs.dpo_rows(table(s, d, "dpo_final")).select("pair_id", "score_delta")
+    """Pairs for training; NaN, which is above every bound, is shown as null."""
+    return pairs.dpo_rows(table(s, d, "dpo_final")).select("pair_id", F.nanvl("score_delta", F.lit(None).cast("double")).alias("score_delta"))
+
+
+_SAID = "list_transform({0}, lambda t: coalesce(t.role, '') || '|' || coalesce(t.content, '')) as {1}"
+
+
+@query(f"{_P} select pair_id, {_SAID.format('fork', 'prompt')}, {_SAID.format('chosen_branch', 'chosen')}, {_SAID.format('rejected_branch', 'rejected')}, round({_EX}, 6) as chosen_weight from p where {_DPO}")
+def dpo_training_rows(s, d):
+    """Prompt, chosen and rejected messages with the weight of the chosen ones."""
+    out = pairs.dpo_rows(table(s, d, "dpo_final"), chosen_weighting=True)
+    said = lambda c: F.transform(c, lambda t: F.concat_ws("|", F.coalesce(t["role"], F.lit("")), F.coalesce(t["content"], F.lit(""))))
+    return out.select("pair_id", *[said(c).alias(c) for c in ("prompt", "chosen", "rejected")], F.round("chosen_weight", 6).alias("chosen_weight"))
+
+
+@query(f"{_P} select pair_id, round({_EX.replace(_weight_sql('gate_amplify', 0.1), _weight_sql('gate_amplify', 0.0))}, 6) as weight from p")
+def example_weight_v1(s, d):
+    return _dpo(s, d).select("pair_id", F.round(weights.example_weight(F.col("chosen_branch"), floor=0.0), 6).alias("weight"))
 
 
 @query(_S + ", " + _FLAT.replace("unnest(t).content as c", "unnest(t) as m") + " select chain_id, turn_no::int as turn_no, m.role as role, m.content as content from f")
@@ -203,10 +232,25 @@ _SW = "coalesce(fork[-1].role = 'assistant', false)"
 _ROLES = "list_transform({0}, lambda t: case when not " + _SW + " then t.role when t.role = 'user' then 'assistant' when t.role = 'assistant' then 'user' else t.role end) as {0}"
 
 
-@query(f"{_P} select pair_id, {_SW} as swapped, {', '.join(_ROLES.format(c) for c in ('fork', 'chosen_branch', 'rejected_branch'))} from p")
+_WORDS = "list_transform({0}, lambda t: coalesce(t.content, '')) as {0}_contents"
+
+
+@query(f"{_P} select pair_id, {_SW} as swapped, {', '.join(f.format(c) for c in ('fork', 'chosen_branch', 'rejected_branch') for f in (_ROLES, _WORDS))} from p")
 def role_swap(s, d):
     out = pairs.swap_where_needed(_dpo(s, d))
-    return out.select("pair_id", "swapped", *[F.transform(c, lambda t: t["role"]).alias(c) for c in ("fork", "chosen_branch", "rejected_branch")])
+    own = [x for c in ("fork", "chosen_branch", "rejected_branch") for x in (F.transform(c, lambda t: t["role"]).alias(c), F.transform(c, lambda t: F.coalesce(t["content"], F.lit(""))).alias(f"{c}_contents"))]
+    return out.select("pair_id", "swapped", *own)
+
+
+@query("""with r as (select pair_id, json_extract(rejected_branch, '$[*]') as js, json_extract_string(fork, '$[#-1].role') = 'assistant' as sw from dpo_final where json_valid(rejected_branch) and json_type(rejected_branch) = 'ARRAY'),
+ j as (select pair_id, coalesce(sw, false) as sw, generate_subscripts(js, 1) - 1 as turn_no, unnest(js) as j from r)
+ select pair_id, turn_no::int as turn_no, array_to_string(list_sort(json_keys(j)), ',') as keys, case when not sw then j->>'role' when j->>'role' = 'user' then 'assistant' when j->>'role' = 'assistant' then 'user' else j->>'role' end as role, length(j->>'content') as chars from j""")
+def role_swap_exact(s, d):
+    """The swap on the JSON itself, byte for byte but for the roles: every key of every rejected turn survives."""
+    df = table(s, d, "dpo_final").withColumn("swap", turns.ends_on_assistant(turns.decode("fork")))
+    out = df.select("pair_id", sinks.swap_roles_exact("rejected_branch", F.col("swap")).alias("j"))
+    t = out.select("pair_id", F.posexplode(turns.decode_whole("j")).alias("turn_no", "t"))
+    return t.select("pair_id", "turn_no", _keys(F.col("t")).alias("keys"), turns.text_of(F.col("t"), "role").alias("role"), F.length(turns.text_of(F.col("t"), "content")).alias("chars"))
 
 
 @query(f"{_P} select count(*) as pairs, count(*) filter ({_SW}) as swapped, count(*) filter (not {_SW}) as already_ok from p")
@@ -257,18 +301,110 @@ def truncate_boundary(s, d):
     return table(s, d, "documents").filter("text is not null").select("doc_id", text.truncate_at_boundary(F.col("text"), F.lit(200)).alias("cut"))
 
 
-@query()
+_M = "greatest(1, trunc({0}::double * 0.7::double / 4)::int)"
+#: What the stand-in generator writes for a target, stripped and cut where overlong.
+_ECHO = f"case when {{0}} > 0 and 5 * {_M} - 1 > trunc({{0}}::double * 1.3::double)::int then substring(rtrim(repeat('word ', {_M}::int)), 1, ({{0}})::int) else rtrim(repeat('word ', {_M}::int)) end"
+_SIZE = "coalesce(length(t.content), 0)"
+_HIGH = "coalesce(t.role = 'assistant', false) and coalesce(t.score, 0) >= 5"
+_REWRITTEN = f"""{_LEN}, f as (select *, abs(c - r) / greatest(c, r, 1) <= 0.3 and {_LOW} as skipped from x),
+ o as (select *, case when skipped then list_transform(rejected_branch, lambda t: {{'role': t.role, 'content': t.content, 'syn': coalesce(t.synthetic, false), 'new': false}})
+  else list_transform(rejected_branch, lambda t: {{'role': t.role, 'content': case when {_HIGH} then {_ECHO.format(_SIZE)} else t.content end, 'syn': {_HIGH} or coalesce(t.synthetic, false), 'new': {_HIGH}}}) end as b from f),
+ u as (select *, {_CHARS.format('b')} as br, len(list_filter(b, lambda t: t.role = 'user' or t.syn)) as k from o),
+ w as (select *, case when not skipped and k > 0 and abs(c - br) / greatest(c, br, 1) > 0.3 then floor((c - br) / k) end as each from u),
+ y as (select *, case when each is null then b else list_transform(b, lambda t: case when coalesce(t.role = 'user', false) or t.syn then {{'role': t.role, 'content': {_ECHO.format(f'greatest(20, {_SIZE} + each)::bigint')}, 'syn': true, 'new': true}} else t end) end as z from w),
+ q as (select *, {_CHARS.format('z')} as zr, coalesce(len(list_filter(b, lambda t: t.new)), 0) as asst, case when each is null then 0 else k end as usr from y),
+ n as (select *, skipped or abs(c - zr) / greatest(c, zr, 1) <= 0.3 as matched from q)"""
+
+
+def _rewritten(s, d):
+    return rewrite.rewrite_all(table(s, d, "dpo_final"), "pair_id", rewrite.echo_generator)
+
+
+@query(_REWRITTEN + """, js as (select pair_id, case when json_valid(rejected_branch) then json_extract(rejected_branch, '$[*]') end as j from dpo_final)
+ select n.pair_id, asst::bigint as asst_replacements, usr::bigint as user_replacements, matched as length_matched, coalesce(len(z), 0) as rejected_depth, c as chosen_chars, zr as rejected_chars,
+ list_transform(z, lambda t: coalesce(t.content, '')) as contents,
+ list_transform(j, lambda x, i: array_to_string(list_sort(list_distinct(list_concat(json_keys(x), case when z[i].new then ['content', 'synthetic'] else [] end))), ',')) as keys from n join js using (pair_id) where matched""")
 def apply_rewrites(s, d):
-    """Pairs after rewriting with the stand-in generator, all phases."""
-    out = rewrite.rewrite_pairs(_dpo(s, d), "pair_id", rewrite.echo_generator)
-    return out.select("pair_id", "asst_replacements", "user_replacements", "length_matched", turns.chars(F.col("rejected_branch")).alias("rejected_chars"))
+    """Pairs after rewriting with the stand-in generator, all phases, assembled: contents and keys of all rejected turns."""
+    out = pairs.assemble(_rewritten(s, d).filter("length_matched"), "pair_id")
+    said = F.transform(turns.decode("rejected_branch"), lambda t: F.coalesce(t["content"], F.lit("")))
+    return out.select("pair_id", "asst_replacements", "user_replacements", "length_matched", "rejected_depth", "chosen_chars", "rejected_chars", said.alias("contents"), F.transform(turns.decode_whole("rejected_branch"), _keys).alias("keys"))
+
+
+@query(_REWRITTEN + " select count(*) as input, count(*) filter (matched) as kept, count(*) filter (matched and skipped) as skipped, count(*) filter (matched and not skipped) as generated, count(*) filter (not matched) as dropped, coalesce(sum(asst) filter (matched), 0)::bigint as asst_replaced, coalesce(sum(usr) filter (matched), 0)::bigint as user_replaced, count(*) filter (matched) as matched from n")
+def rewrite_summary(s, d):
+    return rewrite.run_summary(_rewritten(s, d))
 
 
 @query(f"{_LEN} select pair_id, len(rejected_branch) is null as unread, coalesce(len(rejected_branch), 0) as rejected_depth, c as chosen_chars, r as rejected_chars from x")
 def assemble_pairs(s, d):
+    a = pairs.assemble(table(s, d, "dpo_final"), "pair_id")
+    return a.select("pair_id", F.col("rejected_branch").isNull().alias("unread"), "rejected_depth", "chosen_chars", "rejected_chars")
+
+
+_META = "source subreddit post_id post_url post_score fork_depth chosen_depth chosen_score rejected_score score_delta".split()
+_NO_NAN = {"chosen_score", "rejected_score", "score_delta"}
+
+
+@query("select pair_id, " + ", ".join(f"case when isnan({c}) then null else {c} end as {c}" if c in _NO_NAN else c for c in _META) + " from dpo_final")
+def carried_columns(s, d):
+    """The ten columns that an assembled pair carries through."""
+    a = pairs.assemble(table(s, d, "dpo_final"), "pair_id")
+    return a.select("pair_id", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) if c in _NO_NAN else F.col(c) for c in _META])
+
+
+_TOUCHED = "coalesce(asst_replacements, 0) + coalesce(user_replacements, 0) > 0"
+
+
+@query(f"select pair_id, 'synthetic' as kind from dpo_final where source = 'reddit' and {_TOUCHED} union all select pair_id, 'untouched' from dpo_final where source = 'reddit' and not ({_TOUCHED}) union all select pair_id, 'post' from dpo_final where post_id = (select min(post_id) from dpo_final) union all select pair_id, 'community' from dpo_final where subreddit = (select max(subreddit) from dpo_final)")
+def selected_pairs(s, d):
+    """Pairs by source and rewriting, by post and by community."""
+    df = table(s, d, "dpo_final")
+    least = df.agg(F.min("post_id").alias("p"), F.max("subreddit").alias("c")).first()
+    own = {"synthetic": {"source": "reddit", "synthetic_only": True}, "untouched": {"source": "reddit", "untouched_only": True}, "post": {"post_id": least["p"]}, "community": {"subreddit": least["c"]}}
+    return reduce(DataFrame.unionByName, [pairs.select_pairs(df, **how).select("pair_id", F.lit(k).alias("kind")) for k, how in own.items()])
+
+
+@query("select pair_id from dpo_final where source = 'reddit' order by pair_id limit 50")
+def first_selected(s, d):
+    """The row limit comes after the filters."""
+    return pairs.select_pairs(table(s, d, "dpo_final"), source="reddit", limit=50, order="pair_id").select("pair_id")
+
+
+@query("with x as (select chain_id, row_number() over (order by md5('42:' || chain_id)) <= ceil(count(*) over () * 0.05) as t from sft_chains_scored) select min(chain_id) as chain_id, t as is_test from x group by t")
+def first_of_splits(s, d):
+    """The first row of either side of the split."""
+    x = split.train_test(table(s, d, "sft_chains_scored").select("chain_id"), "chain_id")
+    return split.first(x, "chain_id", False).unionByName(split.first(x, "chain_id", True))
+
+
+_LEGACY = "with p as (select legacy_id as chain_id, list_concat(case when json_valid(prompt) then from_json(prompt, {0}) end, case when json_valid(chosen) then from_json(chosen, {0}) end) as t from legacy_pairs)".format(_TURN)
+
+
+@query(_LEGACY + f", a as (select chain_id, {_ADJ} from p where len(t) >= 2) select chain_id as legacy_id, x.n::int as turn_no, x.u.content as user, x.a.content as assistant from a")
+def boundary_pairs(s, d):
+    """Replies with the turn before them in older rows, where a pair may straddle prompt and answer."""
+    df = table(s, d, "legacy_pairs")
+    return scoring.exploded_pairs(df, "legacy_id", scoring.boundary_pairs(F.col("prompt"), F.col("chosen")))
+
+
+@query(f"{_P} select pair_id, coalesce(chosen_branch[-1].role, '?') as chosen_last, coalesce(rejected_branch[-1].role, '?') as rejected_last, list_filter(list_transform(rejected_branch, lambda t, i: case when t.synthetic then i - 1 end), lambda i: i is not null)::int[] as synthetic, len(fork) + len(chosen_branch) as whole from p")
+def branch_ends(s, d):
+    """Last roles, numbers of the synthetic turns, and turns of fork and chosen branch together."""
     df = _dpo(s, d)
-    a = pairs.assemble(df.withColumn("source", F.col("pair_id").cast("string")))
-    return a.select(F.col("source").cast("long").alias("pair_id"), F.col("rejected_branch").isNull().alias("unread"), "rejected_depth", "chosen_chars", "rejected_chars")
+    return df.select("pair_id", turns.last_role(F.col("chosen_branch")).alias("chosen_last"), turns.last_role(F.col("rejected_branch")).alias("rejected_last"), turns.synthetic_slots(F.col("rejected_branch")).alias("synthetic"), F.size(F.concat("fork", "chosen_branch")).alias("whole"))
+
+
+@query("select doc_id, case when length(text) > 120 then substring(text, 1, 120) || '...' else text end as shown from documents where text is not null")
+def shown_texts(s, d):
+    return table(s, d, "documents").filter("text is not null").select("doc_id", text.shown(F.col("text")).alias("shown"))
+
+
+@query("select 'sft_chains_scored.parquet' as shard, count(*) as rows, count(*) filter (chain_depth >= 3 and total_score >= 0) as kept from sft_chains_scored")
+def shard_counts(s, d):
+    """Rows of each input file and those that the loader keeps."""
+    df = table(s, d, "sft_chains_scored")
+    return tables.shard_counts(df, F.coalesce((F.col("chain_depth") >= 3) & (F.col("total_score") >= 0), F.lit(False)))
 
 
 @query("select source, count(*) as rows, round(count(*) * 100 / (select count(*) from dpo_final), 6) as percent from dpo_final group by source")
@@ -331,11 +467,24 @@ def synthesis_stats(s, d):
     return report.synthesis_statistics(table(s, d, "dpo_final"))
 
 
-@query("select * from (select coalesce(asst_replacements, 0) + coalesce(user_replacements, 0) as replacements, count(*) as rows from dpo_final group by 1) where replacements > 0")
+_REPL = "select 'assistant' as role, asst_replacements as replacements from dpo_final where asst_replacements > 0 union all select 'user', user_replacements from dpo_final where user_replacements > 0"
+
+
+@query(f"select role, replacements, count(*) as rows from ({_REPL}) group by all")
 def replacement_distribution(s, d):
     return report.replacement_distribution(table(s, d, "dpo_final"))
 
 
+@query(f"select role, count(*) as pairs, round(avg(replacements), 6) as mean, quantile_cont(replacements, .5) as median, max(replacements) as most from ({_REPL}) group by role")
+def replacement_stats(s, d):
+    return _rounded(report.replacement_statistics(table(s, d, "dpo_final")))
+
+
+@query("select count(distinct coalesce(nullif(subreddit, ''), '(none)')) as communities from dpo_final")
+def community_count(s, d):
+    return report.community_count(table(s, d, "dpo_final"))
+
+
 @query(f"{_P} select count(*) filter (t.role = 'assistant') as assistant, count(*) filter (coalesce(t.role, '') <> 'assistant') as user from (select unnest(rejected_branch) as t from p) where t.synthetic")
 def synthetic_flags(s, d):
     return report.synthetic_flags(_dpo(s, d))
@@ -352,17 +501,25 @@ def histogram10(s, d):
     return report.histogram(table(s, d, "dpo_final"), F.col("chosen_chars"))
 
 
-@query()
+_ENC = "flatten(list_transform({0}, lambda t: list_concat(['<' || coalesce(t.role, '') || '>'], list_filter(string_split_regex(coalesce(t.content, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''), ['</s>'])))"
+_CHECKS = f"""{_P}, e as (select pair_id, unnest(['chosen', 'rejected']) as branch, coalesce(fork, []) as f, unnest([coalesce(chosen_branch, []), coalesce(rejected_branch, [])]) as b from p),
+ w as (select *, list_concat(f, b) as whole from e), i as (select *, list_concat({_ENC.format('f')}, ['<assistant>']) as fi, {_ENC.format('whole')} as wi from w), c as (select *, wi[1:512] as cut from i),
+ k as (select pair_id, branch, len(wi) > 512 as truncated, case when len(cut) >= len(fi) and cut[1:len(fi)] = fi then 'OK' else 'FAIL' end as prefix, case when len(cut) > len(fi) then 'OK' else 'FAIL' end as response,
+ case when coalesce(cut[-1] = '</s>', false) then 'OK' else 'WARN' end as ending, case when b[-1].role in ('assistant', 'user') then 'OK' else 'WARN' end as last_role,
+ case when len(whole) >= 2 and coalesce(list_bool_or(list_transform(range(1, len(whole)), lambda i: coalesce(whole[i].role = whole[i + 1].role, false))), false) then 'WARN' else 'OK' end as alternation from c)"""
+
+
+@query(_CHECKS + """, l as (select branch, unnest(['prefix', 'shared', 'response', 'end', 'last_role', 'stable', 'alternation']) as "check", unnest([prefix, 'OK', response, ending, last_role, 'OK', alternation]) as status, truncated from k)
+ select branch, "check", status, count(*) as pairs, count(*) filter (truncated) as truncated from l group by all""")
 def branch_checks(s, d):
-    """Checks of both branches of each pair with the stand-in tokenizer: pairs per check and outcome."""
-    return tokens.branch_checks(_dpo(s, d), "pair_id").groupBy("branch", "check", "status").agg(F.count(F.lit(1)).alias("pairs"))
+    """Checks of both branches of each pair with the stand-in tokenizer: pairs per check and outcome, and those cut to the length."""
+    return tokens.branch_checks(_dpo(s, d), "pair_id").groupBy("branch", "check", "status").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("truncated").alias("truncated"))
 
 
-@query("select 'chosen' as branch, count(*) as pairs from dpo_final union all select 'rejected', count(*) from dpo_final")
+@query(_CHECKS + " select pair_id, branch, prefix as status from k")
 def prefix_check(s, d):
-    """Pairs whose fork is a prefix of fork and branch, which must be all."""
-    c = tokens.branch_checks(_dpo(s, d), "pair_id").filter((F.col("check") == "prefix") & (F.col("status") == "OK"))
-    return c.groupBy("branch").agg(F.count(F.lit(1)).alias("pairs"))
+    """Whether the fork with the generation prompt is a prefix of fork and branch: not so where the branch starts on another role."""
+    return tokens.branch_checks(_dpo(s, d), "pair_id").filter(F.col("check") == "prefix").select("pair_id", "branch", "status")
 
 
 def _labels(s, d):

@@ -14,6 +14,8 @@ TURN = T.StructType(
     ]
 )
 TURNS = T.ArrayType(TURN)
+#: Turns with all their keys, whatever these are.
+WHOLE = "array<map<string,variant>>"
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 
 #: The columns of a rewritten preference pair, in order.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,11 +27,16 @@ def build_session(app: str = "turnmill", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share.
 
-    Only where it is unset (single machine, tests) a temporary folder is used.
+    Where it is unset a temporary folder is used on a single machine (master ``local``); on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-turnmill-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-turnmill-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

@@ -20,15 +20,24 @@ def with_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then move it there; ``df`` may read from ``path``."""
+    """Write beside ``path``, then move it there; ``df`` may read from ``path``.
+
+    The old table is moved aside first and deleted last, so that a whole copy exists at every moment.
+    """
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     tmp = path.rstrip("/") + ".tmp"
     df.write.mode("overwrite").parquet(tmp)
     old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(tmp)
     fs = old.getFileSystem(conf)
-    fs.delete(old, True)
+    aside = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".old")
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"cannot move {path} aside")
     if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
         raise OSError(f"cannot move {tmp} to {path}")
+    fs.delete(aside, True)
 
 
 def json_text(turns: Column) -> Column:

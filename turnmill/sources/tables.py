@@ -62,6 +62,7 @@ def non_empty(df: DataFrame, what: str = "data set") -> DataFrame:
     return df
 
 
-def shard_counts(df: DataFrame) -> DataFrame:
-    """Rows per input file, by base name. ``df`` must still carry ``_metadata``."""
-    return df.groupBy(F.col("_metadata.file_name").alias("shard")).agg(F.count(F.lit(1)).alias("rows"))
+def shard_counts(df: DataFrame, kept: Column | None = None) -> DataFrame:
+    """Rows per input file, by base name, and with ``kept`` those that it holds for. ``df`` must still carry ``_metadata``."""
+    more = [] if kept is None else [F.count_if(kept).alias("kept")]
+    return df.groupBy(F.col("_metadata.file_name").alias("shard")).agg(F.count(F.lit(1)).alias("rows"), *more)
