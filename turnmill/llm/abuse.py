@@ -41,9 +41,9 @@ LONG = 8
 #: Cosine from which the nearest example of a window counts: one word among others that ordinary examples have too is not enough.
 NEAR_WINDOW = 0.5
 
-#: Weight from which a word tells something. A positive entry is a neighbour only if two such words agree, or two words
-#: that stand side by side, or a listed term that no ordinary example has.
-TELLING = 2.0
+#: Weight from which a word tells something, and a pair of words. A positive entry is a neighbour only if two such words
+#: agree, or such a pair, or a listed term that no ordinary example has.
+TELLING, TELLING_PAIR = 2.0, 1.5
 
 _SENTENCE = re.compile(r"[.!?…\n]+(?:\s|$)|\n+")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -55,7 +55,7 @@ _SIGNS = re.compile(r"(?<=[^\W\d_])[@$]|[@$](?=[^\W\d_])")
 #: Letters of other scripts that look like Latin ones (fixed values).
 _LOOKS = str.maketrans("аеорсухіјѕһԁԛԝουαετικνρχ", "aeopcyxijshdqwouaetiknpx")
 _LATIN, _OTHER = re.compile(r"[a-z]"), re.compile(r"[Ͱ-ӿ]")
-_GONE = {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x2019, 0x27, 0x2BC)}
+_GONE = re.compile("[\xad\u200b-\u200d\u2060\ufeff\u2019\u02bc]+")
 
 
 def folded(word: str) -> str:
@@ -71,10 +71,11 @@ def folded(word: str) -> str:
 
 def plain(text: str) -> str:
     """Lower case without apostrophes, invisible characters and signs for letters."""
+    text = text.replace("'", "")
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_GONE))
-    elif "'" in text:
-        text = text.replace("'", "")
+        text = _GONE.sub("", text.replace("’", ""))
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
     if "@" in text or "$" in text:
         text = _SIGNS.sub(lambda m: "a" if m[0] == "@" else "s", text)
     return text.lower()
@@ -193,7 +194,7 @@ class Index:
 
     def _agree(self, weights: dict[str, float], x: int) -> bool:
         own = [f for f in self.held[x] if f in weights]
-        return any(" " in f or f in self.listed for f in own) or sum(weights[f] >= TELLING for f in own) > 1
+        return any(weights[f] >= TELLING_PAIR if " " in f else f in self.listed for f in own) or sum(weights[f] >= TELLING for f in own if " " not in f) > 1
 
     def vote(self, near: list[tuple[float, int]]) -> tuple[float, str, int]:
         """(score, label, entry) from neighbours weighted by closeness; 0, none where there is none."""
@@ -224,8 +225,8 @@ class Index:
         """Of the worst sentence of a text in a language. ``memo`` keeps the words of a task.
 
         A sentence is looked up whole and by windows, so that the words around a clause do not lower its
-        cosine; each only if the largest weights that its words and word pairs have in any positive entry
-        could reach a cosine of ``NEAR``.
+        cosine; each only if enough of its words and word pairs tell something and are in positive entries, and the largest
+        weights that they have in any of these could reach the least cosine.
         """
         worst = (0.0, "none", -1)
         lang = lang if lang in self.idf else ""
@@ -234,46 +235,63 @@ class Index:
         if "*" in text or "#" in text or "%" in text:
             text = self.unmask(text)
         for s in _SENTENCE.split(text):
-            bound = square = 0.0
-            single = 0
-            pairs = None
-            ws: list[str] = []
-            bounds, squares = [0.0], [0.0]
-            for w in _TOKEN.findall(s):
-                got = memo.get(w)
-                if got is None:
+            found = _TOKEN.findall(s)
+            if not found:
+                continue
+            got = []
+            for w in found:
+                g = memo.get(w)
+                if g is None:
                     if len(memo) > 300_000:
                         memo.clear()
-                    f = folded(w)
-                    v = idf.get(f)
-                    pairs_of = {x: idf[f"{f} {x}"] * self.reach[f"{f} {x}"] for x in self.pair_reach.get(f, ())}
-                    got = memo[w] = (self.unseen**2 if v is None else v * v, 0.0 if v is None else v * self.reach.get(f, 0.0), f, pairs_of, len(w) == 1)
-                square += got[0]
-                bound += got[1]
-                if pairs:
-                    bound += pairs.get(got[2], 0.0)
-                pairs = got[3]
-                single += got[4]
-                ws.append(got[2])
-                bounds.append(bound)
-                squares.append(square)
-            if single > 3:
+                    g = memo[w] = self._about(w, idf)
+                got.append(g)
+            single = len(found) > 3 and sum(g[4] for g in got) > 3
+            if single:
                 ws = tokens(s)
                 parts = clauses(ws)
-            elif bound:
-                parts = [ws] if bound * bound >= NEAR * NEAR * square else []
-                for i, j in spans(len(ws)):
-                    b = bounds[j] - bounds[i]
-                    if b > 0 and b * b >= NEAR_WINDOW * NEAR_WINDOW * (squares[j] - squares[i]):
-                        parts.append(ws[i:j])
             else:
-                continue
+                # what tells something: most sentences have too little of it
+                if sum(g[5] for g in got) < 2 and not any(g[6] and h[2] in g[6] for g, h in zip(got, got[1:], strict=False)):
+                    continue
+                ws = [g[2] for g in got]
+                near = [g[3].get(w) if g[3] else None for g, w in zip(got, ws[1:], strict=False)]
+                bounds, squares, told = [0.0], [0.0], [0]
+                for g, p in zip(got, [None, *near], strict=True):
+                    bounds.append(bounds[-1] + g[1] + (p[0] if p else 0.0))
+                    squares.append(squares[-1] + g[0])
+                    told.append(told[-1] + g[5] + (p[1] if p else 0))
+                least = NEAR if len(ws) <= LONG else NEAR_WINDOW
+                parts = [ws] if bounds[-1] ** 2 >= least * least * squares[-1] else []
+                for i, j in spans(len(ws)) if len(ws) > WINDOWS[0][0] else ():
+                    if told[j] - told[i] > 1 and (bounds[j] - bounds[i]) ** 2 >= NEAR_WINDOW * NEAR_WINDOW * (squares[j] - squares[i]):
+                        parts.append(ws[i:j])
             for part in parts:
-                got = self.window_vote(part, lang) if len(part) < len(ws) else self.vote(near) if (near := self.neighbours(part, lang=lang)) and near[0][0] >= (NEAR if len(ws) <= LONG else NEAR_WINDOW) else worst
-                if got[0] > worst[0]:
-                    worst = got
+                key = " ".join(part), len(part) < len(ws)
+                vote = memo.get(key)
+                if vote is None:
+                    if key[1]:
+                        vote = self.window_vote(part, lang)
+                    else:
+                        best = self.neighbours(part, lang=lang)
+                        vote = self.vote(best) if best and best[0][0] >= (NEAR if len(ws) <= LONG else NEAR_WINDOW) else (0.0, "none", -1)
+                    memo[key] = vote
+                if vote[0] > worst[0]:
+                    worst = vote
         return worst
 
+    def _about(self, w: str, idf: dict[str, float]) -> tuple:
+        """Of a word: square, bound, folded, the bound and 2 for telling of its pairs, whether it is one letter, 2 or 1 for telling, telling pairs."""
+        f = folded(w)
+        v = idf.get(f)
+        reach = self.reach.get(f, 0.0)
+        pairs = {}
+        for x in self.pair_reach.get(f, ()):
+            p = idf[f"{f} {x}"]
+            pairs[x] = (p * self.reach[f"{f} {x}"], 2 if p >= TELLING_PAIR else 0)
+        tells = 0 if v is None or not reach else 2 if f in self.listed else int(v >= TELLING)
+        return (self.unseen**2 if v is None else v * v, 0.0 if v is None else v * reach, f, pairs, len(w) == 1, tells, {x for x, (_, t) in pairs.items() if t})
+
 
 def build_index(examples: list[tuple], terms: list[tuple], general: Iterable[tuple[str, str, str]] | None = None, rates: dict[tuple[str, str], float] | None = None) -> Index:
     """Index of labelled examples (id, text, label[, lang]), of known terms (term, category[, lang]) and of general phrases (lang:frame, phrase, label).
