@@ -69,6 +69,50 @@ def test_pairs_at_the_bound(spark):
     assert got <= {(2 * i, 2 * i + 1) for i in range(300)} and len(got) >= 298
 
 
+def test_recall_by_length_and_kind_of_change(spark):
+    """A share of the words changed one by one, or left out here and put in there, in texts of 25 to 300 words; all are at the bound or above."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows, want = [], []
+    for n in (25, 60, 100, 300):
+        for share in (0.1, 0.15, 0.19, 0.2):
+            for moved in (False, True):
+                for _ in range(15):
+                    t = [word() for _ in range(n)]
+                    k = int(n * share)
+                    gone = set(rng.sample(range(n), k))
+                    other = [word() if i in gone and not moved else w for i, w in enumerate(t) if not (moved and i in gone)]
+                    for _ in range(k if moved else 0):
+                        other.insert(rng.randint(0, len(other)), word())
+                    at = len(rows)
+                    rows += [("t", at, "train", "s", _chain(" ".join(t))), ("t", at + 1, "validation", "s", _chain(" ".join(other)))]
+                    # the turns of a chain may divide a word
+                    x, y = ([w for turn in json.loads(r[4])[:2] for w in words(turn["content"])] for r in rows[-2:])
+                    if lcs(x, y) >= 0.8 * max(len(x), len(y)):
+                        want.append((at, at + 1))
+    df = spark.createDataFrame(rows, "tbl string, id long, split string, source string, conversation string").withColumn("is_train", F.col("split") == "train")
+    p = overlap.prepare(df, F.col("conversation"))
+    got = {(r.id_a, r.id_b) for r in overlap.cross_split_pairs(p, overlap.same_classes(p)).collect()}
+    assert len(want) > 400 and got <= set(want) and len(got) >= 0.98 * len(want)
+
+
+def test_hot_class_and_hot_bucket(spark, monkeypatch):
+    """Buckets worked in parts and classes in several lists give the same pairs."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    t = [word() for _ in range(50)]
+    texts = [t] * 60 + [[word() if k == i % 50 else w for k, w in enumerate(t)] for i in range(40)]
+    rows = [("t", i, "test" if i % 7 == 0 else "train", "s", _chain(" ".join(x))) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "tbl string, id long, split string, source string, conversation string").withColumn("is_train", F.col("split") == "train")
+    want = {(min(a, b), max(a, b)) for a in range(100) for b in range(100) if a % 7 == 0 and b % 7}
+    for hot, part in ((2_000, 20_000), (3, 10)):
+        monkeypatch.setattr(overlap, "HOT", hot)
+        monkeypatch.setattr(overlap, "CLASS_ROWS", part)
+        p = overlap.prepare(df, F.col("conversation"))
+        assert bool(p.hot) == (hot == 3)
+        assert {(r.id_a, r.id_b) for r in overlap.cross_split_pairs(p, overlap.same_classes(p)).collect()} == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "tbl string, id long, split string, source string, conversation string, is_train boolean")
     p = overlap.prepare(df, F.col("conversation"))

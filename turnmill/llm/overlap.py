@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 from turnmill.llm.words import content, turns, word_codes
 from turnmill.session import checkpointed
 
-#: Bands, the minwise hashes in each, and those in all, each of which is in two or three bands. Texts of which four fifths
-#: stand in order have a Jaccard of two thirds or more over their counted words; of such pairs 0.1 % share no band.
-BANDS, ROWS, HASHES = 192, 8, 640
+#: Bands, the minwise hashes in each, and those in all, each of which is in two bands. Texts of which four fifths
+#: stand in order have a Jaccard of two thirds or more over their counted words; of such pairs 0.3 % share no band.
+BANDS, ROWS, HASHES = 160, 8, 640
 #: Texts whose hashes are computed together.
 CHUNK = 256
 #: Longs of the one-bit minwise sketches, and bits in which those of a pair must agree to be compared word by word; of pairs
@@ -120,7 +120,7 @@ _ADDED = [("cls", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64()
 _KEPT = ("tbl", "id", "split", "source", "is_train")
 
 
-def _classes(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def class_hashes(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A hash of each word sequence, which must not be empty."""
     n = np.diff(bounds)
     pos = (np.arange(len(codes)) - np.repeat(bounds[:-1], n) + 1).astype(np.uint64)
@@ -128,7 +128,7 @@ def _classes(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (np.add.reduceat(each, bounds[:-1]) & np.uint64(2**63 - 1)).astype(np.int64)
 
 
-def _lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+def lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
     sizes = [0 if v is None else len(v) for v in values]
     flat = [v for v in values if v is not None]
     got = pa.array(np.concatenate(flat) if flat else [], kind.value_type)
@@ -144,7 +144,7 @@ def _probes(bands: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return (k & np.uint64(words - 1)).astype(np.int64), mask
 
 
-def _held(words: np.ndarray, bands: np.ndarray) -> np.ndarray:
+def key_held(words: np.ndarray, bands: np.ndarray) -> np.ndarray:
     at, mask = _probes(bands, len(words))
     return words[at] & mask == mask
 
@@ -169,8 +169,8 @@ def _entries(df: DataFrame, conversation: Column, known=None) -> DataFrame:
             if not len(rows):
                 continue
             bounds = np.append(bounds[rows], bounds[-1])
-            lists = np.split(codes, bounds[1:-1])
-            cls = _classes(codes, bounds)
+            each = np.split(codes, bounds[1:-1])
+            cls = class_hashes(codes, bounds)
             kept = b.take(pa.array(rows)).select(_KEPT)
             fresh = []
             for j, key in enumerate(zip(kept.column("tbl").to_pylist(), cls.tolist(), strict=True)):
@@ -181,16 +181,16 @@ def _entries(df: DataFrame, conversation: Column, known=None) -> DataFrame:
             # in parts whose arrays stay in the processor's cache
             for i in range(0, len(fresh), CHUNK):
                 part = fresh[i : i + CHUNK]
-                k, s = signatures([lists[j] for j in part])
+                k, s = signatures([each[j] for j in part])
                 if known is not None:
-                    e, hit = _before(k, 0), _held(known.value, k)
+                    e, hit = _before(k, 0), key_held(known.value, k)
                 for x, j in enumerate(part):
-                    sketch[j], own[j] = s[x], lists[j].view(np.int32)
+                    sketch[j], own[j] = s[x], each[j].view(np.int32)
                     if known is None:
                         bands[j] = k[x]
                     else:
                         bands[j], before[j] = k[x][hit[x]], e[x][hit[x]]
-            added = [pa.array(cls), pa.array(np.diff(bounds), pa.int32()), *(_lists(v, t) for v, (_, t) in zip((sketch, bands, before, own), _ADDED[2:], strict=True))]
+            added = [pa.array(cls), pa.array(np.diff(bounds), pa.int32()), *(lists(v, t) for v, (_, t) in zip((sketch, bands, before, own), _ADDED[2:], strict=True))]
             yield pa.RecordBatch.from_arrays([*kept.columns, *added], [*_KEPT, *(k for k, _ in _ADDED)])
 
     long = T.ArrayType(T.LongType())
@@ -198,7 +198,7 @@ def _entries(df: DataFrame, conversation: Column, known=None) -> DataFrame:
     return checkpointed(df.select(*_KEPT, conversation.alias("__conversation")).mapInArrow(work, schema))
 
 
-def _filter(keys: DataFrame, n: int, many: int | None = None) -> tuple[np.ndarray, list[int]]:
+def key_filter(keys: DataFrame, n: int, many: int | None = None) -> tuple[np.ndarray, list[int]]:
     """The filter of ``n`` hashed ``key``: words of 64 bits, in one of which each key sets four; and the keys that more than ``many`` rows have.
 
     Put together by pieces in the tasks; the driver lays the pieces side by side.
@@ -238,11 +238,11 @@ def _only_known(entries: DataFrame, known) -> DataFrame:
             for at in range(0, len(b), CHUNK):
                 part = b.slice(at, CHUNK)
                 k = pa.compute.list_flatten(part.column("bands")).to_numpy(zero_copy_only=False).reshape(len(part), BANDS)
-                hit = _held(known.value, k)
+                hit = key_held(known.value, k)
                 ends = pa.array(np.concatenate(([0], np.cumsum(hit.sum(1)))), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x[hit])) for x in (k, _before(k, 1))]
+                kept = [pa.ListArray.from_arrays(ends, pa.array(x[hit])) for x in (k, _before(k, 1))]
                 rest = [c for c in part.schema.names if c != "bands"]
-                got = dict(zip([*rest, "bands", "before"], [*(part.column(c) for c in rest), *lists], strict=True))
+                got = dict(zip([*rest, "bands", "before"], [*(part.column(c) for c in rest), *kept], strict=True))
                 yield pa.RecordBatch.from_arrays([got[f.name] for f in schema], [f.name for f in schema])
 
     return checkpointed(entries.mapInArrow(work, schema))
@@ -258,10 +258,10 @@ def prepare(df: DataFrame, conversation: Column) -> Prepared:
     share = df.sparkSession.sparkContext.broadcast
     ev = _entries(df.filter(~F.col("is_train")), conversation)
     of_ev = ev.filter("bands is not null").select(columns)
-    tr = _entries(df.filter("is_train"), conversation, share(_filter(*_bands_of(of_ev))[0]))
+    tr = _entries(df.filter("is_train"), conversation, share(key_filter(*_bands_of(of_ev))[0]))
     of_tr = tr.filter("size(bands) > 0").select(*columns, "before")
     keys, n = _bands_of(of_tr)
-    known, hot = _filter(keys, n, max(HOT, n // HOTTEST))
+    known, hot = key_filter(keys, n, max(HOT, n // HOTTEST))
     entries = of_tr.unionByName(_only_known(of_ev, share(known)).filter("size(bands) > 0"))
     both = ev.unionByName(tr)
     return Prepared(both.select(*_KEPT, "cls"), entries, both.filter("size(bands) > 0").select("tbl", "cls", "codes"), hot)
@@ -312,11 +312,11 @@ def same_classes(prepared: Prepared, same: float = SAME) -> DataFrame:
     near = _candidates(prepared, same)
     wanted = checkpointed(near.select("tbl", F.explode(F.array("train_cls", "eval_cls")).alias("cls")).distinct())
     # a filter of bounded size spares the shuffle of all other texts
-    known = wanted.sparkSession.sparkContext.broadcast(_filter(wanted.select(F.col("cls").alias("key")), wanted.count())[0])
+    known = wanted.sparkSession.sparkContext.broadcast(key_filter(wanted.select(F.col("cls").alias("key")), wanted.count())[0])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_held(known.value, b.column("cls").to_numpy())))
+            yield b.filter(pa.array(key_held(known.value, b.column("cls").to_numpy())))
 
     held = prepared.texts.mapInArrow(kept, prepared.texts.schema)
     texts = checkpointed(held.join(wanted, ["tbl", "cls"], "left_semi").dropDuplicates(["tbl", "cls"]))
