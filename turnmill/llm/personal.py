@@ -29,11 +29,20 @@ GIVEN = set(
 )
 #: Their spellings with accents (fixed values).
 ACCENTED = set("amélie andré chloé inés joão jorgé josé lucía luís mário márta rené sofía tomás zoë".split())
+#: Words for persons by what they are to somebody (fixed values).
+RELATIONS = {
+    "en": "landlord landlady neighbour neighbor boss doctor dentist teacher colleague cousin manager tenant therapist lawyer roommate flatmate friend brother sister wife husband partner mother father uncle aunt nurse plumber mechanic tutor coach accountant supervisor professor client patient boyfriend girlfriend".split(),
+    "es": "casero casera vecino vecina jefe jefa médico médica amigo amiga hermano hermana marido mujer madre padre abogado abogada profesor profesora compañero compañera".split(),
+    "de": "vermieter vermieterin nachbar nachbarin chef chefin kollege kollegin arzt ärztin freund freundin bruder schwester mann frau mutter vater anwalt anwältin lehrer lehrerin mitbewohner mitbewohnerin".split(),
+    "fr": "propriétaire voisin voisine patron patronne collègue médecin ami amie frère sœur mari femme mère père avocat avocate professeur colocataire".split(),
+    "pt": "senhorio senhoria vizinho vizinha chefe médico médica amigo amiga irmão irmã marido mulher mãe pai advogado advogada professor professora colega".split(),
+    "ru": "хозяин хозяйка сосед соседка начальник начальница врач друг подруга брат сестра муж жена мать отец юрист учитель учительница коллега".split(),
+}
 CUES = {
     "intro": r"(?:(?:my|his|her) (?:full )?name(?: is|'s|:)|i am called|me llamo|mi nombre es|soy|ich hei(?:ß|ss)e|mein name ist|je m['’]appelle|mon nom est|(?:eu )?me chamo|meu nome é|меня зовут|signed)[\s:,]*$",
-    "role": r"(?:work(?:s|ed|ing)? with|ask for|talk to|speak (?:to|with)|(?:my|our|his|her) (?:landlord|landlady|neighbou?r|boss|doctor|dentist|teacher|colleague|cousin|manager|tenant)|contact|pregunt\w+ por|trabajo con|mi (?:casero|casera|vecin[oa]|jef[ea])|"
-    r"fragt? (?:am empfang )?nach|arbeite mit|(?:mein|meine) (?:vermieter(?:in)?|nachbar(?:in)?|chef(?:in)?|kolleg(?:e|in))|demande[zr]? (?:à voir )?|travaille avec|(?:mon|ma) (?:propriétaire|voisine?|patronne?|collègue)|pergunt\w+ (?:por|pel[oa])|trabalho com|"
-    r"(?:meu|minha) (?:senhorio|senhoria|vizinh[oa]|chefe)|спросите|работаю с|(?:мой|моя) (?:хозяин|хозяйка|сосед(?:ка)?|начальник))[\s:,]*$",
+    "role": r"(?:work(?:s|ed|ing)? with|ask for|talk to|speak (?:to|with)|contact|pregunt\w+ por|trabajo con|fragt? (?:am empfang )?nach|arbeite mit|demande[zr]? (?:à voir )?|travaille avec|pergunt\w+ (?:por|pel[oa])|trabalho com|спросите|работаю с)[\s:,]*$",
+    "person": r"(?:(?:my|our|his|her|their) (?:\w+ )?(?:" + "|".join(RELATIONS["en"]) + r")|mis? (?:" + "|".join(RELATIONS["es"]) + r")|(?:mein|meine|unser|unsere) (?:" + "|".join(RELATIONS["de"]) + r")|(?:mon|ma|notre) (?:" + "|".join(RELATIONS["fr"]) + r")|(?:meu|minha) (?:"
+    + "|".join(RELATIONS["pt"]) + r")|(?:мой|моя|наш|наша) (?:" + "|".join(RELATIONS["ru"]) + r"))(?:,? (?:is|was|called|named|es|ist|heißt|est|é|зовут))?[\s:,]*$",
     "closing": r"(?:regards|best wishes|sincerely|yours truly|saludos|atentamente|viele grü(?:ß|ss)e|mit freundlichen grü(?:ß|ss)en|cordialement|bien à vous|atenciosamente|abraços|cumprimentos|с уважением)(?:,\s*|\s*\n\s*)$",
     "phone": r"(?:call|ring|text|phone|tel|telephone|mobile|cell|whatsapp|fax|dial|reach|number is|my number|mi número|número es|ll[aá]m\w*|tel[eé]fono|m[oó]vil|ruf\w*|meine nummer|handy|telefon|erreich\w*|appel\w*|mon numéro|joindre|téléphone|portable|lig[au]\w*|telefone|celular|telemóvel|meu número|звони\w*|телефон\w*|мой номер)\W(?:[^\n.!?]|\.(?=\S)|(?<=no)\.|(?<=nr)\.){0,22}$",
     "ident": r"(?:\bssn\b|social security|national insurance|passport|passeport|pasaporte|passaporte|reisepass|driver'?s? licen[cs]e|driving licen[cs]e|licen[cs]e no|\bdni\b|\bnie\b|\bnif\b|\bnss\b|iban|steuer-?id|steuernummer|ausweis\w*|sozialversicherung\w*|versicherungsnummer|"
@@ -57,7 +66,10 @@ _STREETS = (
     re.compile(r"\b(?:ул\.?|улица|улице|проспект|пр\.|переулок|пер\.|шоссе|площадь|бульвар|набережная) ?[^\W\d_][\w-]+(?: [^\W\d_][\w-]+){0,2},? ?(?:д\.?|дом)? ?\d{1,4}\w?\b(?:,? кв\.? ?\d+)?", re.I),
 )
 _PART = r"[^\W\d_]+(?:[-'’][^\W\d_]+)?"
+_PARTICLE = r"(?:(?:de|da|do|dos|del|van|von|der|den|di|la|le|al|bin|ibn|Ni|Nic|Mac|Mc) )"
 _NAME_AT = (
+    re.compile(rf"{_CAP}(?: [A-Z]\.)? {_PARTICLE}{{1,2}}{_CAP}(?![\w@])"),
+    re.compile(rf"{_CAP} {_CAP} {_CAP}(?![\w@])"),
     re.compile(rf"{_CAP}(?: [A-Z]\.)? {_CAP}(?![\w@])"),
     re.compile(rf"[^\W\d_]\. ?(?:[^\W\d_]\. ?)?[^\W\d_]{{3,}}(?![\w@])"),
     re.compile(rf"{_CAP}, {_CAP}(?![\w@])"),
@@ -80,6 +92,7 @@ SIGNS = {
     "cue": ("name is", "name:", "name's", "i am called", "llamo", "nombre es", "soy ", "heiße", "heisse", "name ist", "appelle", "nom est", "chamo", "nome é", "зовут", "signed", "working with", "work with", "worked with", "works with", "ask for", "talk to", "speak to", "speak with", "landlord", "landlady",
         "neighbour", "neighbor", "boss", "doctor", "dentist", "teacher", "colleague", "cousin", "manager", "tenant", "contact", "unten por", "unte por", "unta por", "trabajo con", "casero", "casera", "vecino", "vecina", "jefe", "jefa", "empfang nach", "fragt nach", "frag nach", "arbeite mit", "vermieter", "vermieterin", "nachbar", "nachbarin", "chef", "chefin", "kollege", "kollegin",
         "demandez", "demande", "travaille avec", "propriétaire", "voisin", "voisine", "patron", "patronne", "collègue", "ergunte por", "ergunte pelo", "ergunte pela", "trabalho com", "senhorio", "senhoria", "vizinho", "vizinha", "спросите", "работаю с", "хозяин", "хозяйка", "сосед", "соседка", "начальник",
+        *sorted({w for ws in RELATIONS.values() for w in ws if len(w) > 3}),
         "regards", "best wishes", "sincerely", "yours truly", "saludos", "atentamente", "grüße", "grüsse", "grüßen", "cordialement", "bien à vous", "atenciosamente", "abraços", "cumprimentos", "с уважением"),
 }
 
@@ -123,7 +136,7 @@ def _scan(text: str) -> tuple[set[str], set[int]]:
     return groups, at
 
 
-_GAP = re.compile(r"(?:in)?[\s:,]*")
+_GAP = re.compile(r"(?:in)?(?:,? (?:is|was|called|named|es|ist|heißt|est|é|зовут)\b)?[\s:,]*", re.I)
 _PLAIN = str.maketrans("áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
 
 
@@ -176,7 +189,7 @@ def candidates(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         parts = [p for p in re.split(r"[\s,.]+", s) if p]
         low = [p.lower() for p in parts]
         plain = [p.translate(_PLAIN) for p in low]
-        c = cues(a) & {"intro", "role", "closing"}
+        c = cues(a) & {"intro", "role", "person", "closing"}
         given = [p in GIVEN for p in plain]
         initial = len(parts[0]) == 1
         if not (any(given) or c) or "," in s and low[0] in _CLOSING or low[-1] in _STOP or len(parts[-1]) < 2:
@@ -184,6 +197,8 @@ def candidates(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         if s.islower() and not any(given) and "intro" not in c:
             continue
         case = "upper" if s.isupper() else "lower" if s.islower() else "caps" if all(p[0].isupper() for p in parts) else "mixed"
+        if case == "mixed" and not any(given) and "intro" not in c:
+            continue
         out[a, b, "name"] = (
             "bias", f"given{'F' if given[0] else 'L' if given[-1] else '0'}", "initial" if initial else "word", f"case_{case}", "comma" if "," in s else "nocomma", f"parts{len(parts)}",
             *(f"cue_{k}" for k in sorted(c)), "cued" if c else "nocue", f"init_{bool(c)}" if initial else "-", "org" if _ORG.match(text[b : b + 14]) or _ORG.match(" " + parts[-1]) else "noorg",
@@ -249,7 +264,7 @@ FRAMES = (
     "Call {phone} after lunch.", "My number is {phone}.", "text {phone} any time", "Ruf mich unter {phone} an.", "Llámame al {phone}.", "Appelle-moi au {phone} demain.", "Meu telefone é {phone}.", "Мой номер {phone}, звони.", "Ring {phone} and wait.", "My number is {phone} and my mail is {email}.",
     "My passport no. is {id_number}.", "They wanted the SSN {id_number} twice.", "Meine IBAN {id_number} stimmt.", "El DNI {id_number} caducó.", "Mon numéro de sécurité sociale est {id_number}.", "O CPF {id_number} está errado.", "Паспорт {id_number} утерян.", "national insurance number {id_number} was typed", "driver's license {id_number} expired", "account number {id_number} was closed",
     "Send it to {address}, please.", "I live at {address} now.", "Ich wohne {address} und warte.", "Vivo en {address} desde mayo.", "J'habite {address} ici.",
-    "My name is {name}, hello.", "I work with {name} on this.", "Ask for {name} at noon.", "Ich heiße {name}.", "Me llamo {name}, gracias.", "Je m'appelle {name}.", "My landlord {name} agreed.", "Regards, {name}", "Saludos, {name}", "Viele Grüße, {name}", "Cordialement, {name}.", "we met {Name} there",
+    "My name is {name}, hello.", "I work with {name} on this.", "Ask for {name} at noon.", "Ich heiße {name}.", "Me llamo {name}, gracias.", "Je m'appelle {name}.", "My landlord {name} agreed.", "I asked my neighbour {xname} about it.", "My therapist is {xname}.", "our boss {xname} left early", "Mein Nachbar {xname} half uns.", "Mi vecina {xname} llamó.", "Ma voisine {xname} est venue.", "Minha chefe {xname} saiu.", "my name is {xname}, hello", "Ich heiße {xname}.", "My <word> is <Word> <Noun> today.", "my cousin <word> it", "My teacher, <Word>, came.", "my sister <Word> <word> it.", "Regards, {name}", "Saludos, {name}", "Viele Grüße, {name}", "Cordialement, {name}.", "we met {Name} there",
     "The order number was <long>, pending.", "Part number <part> fits.", "Version <version> broke it.", "It listens on port <port> at <ip> here.", "Coordinates were <coord>.", "ISBN <isbn> is the book.", "The log says <stamp> and stops.", "The score was <score> in the end.", "I paid <price> for it.", "Build <build> passed.", "The <org> edition is nicer.", "<street> is closed today.", "Ping @<word> in the tracker.", "Add @app.<word> above it.", "my name is <word> something", "We asked for <Word> parts.", "I work with <org> tools.", "Regards, <given> <letter>.", "Saludos, <given> <letter>.", "In <long> steps it ends.", "call <word> twice", "Ask for <Word> <Noun> there.", "Meet me at the dot on the map.", "Meine Steuer-ID {id_number} fehlt.", "Em casa: {phone}.", "Signed, {name}", "Pregunten por {name} allí.", "Fragt nach {name} bitte.",
 )
 #: Passes over the training sentences, their number, step and decay.
@@ -273,6 +288,7 @@ def _filled(rng: random.Random) -> tuple[str, set[tuple[int, int, str]]]:
         "phone": lambda: rng.choice(("({a}) {b}-{c}", "{a}-{b}-{c}", "{a}.{b}.{c}", "+1 {a} {b} {c}", "1-{a}-{b}-{c}", "+1{a}{b}{c}", "+49 30 {b}{c}", "030 {b}{a} {x}", "030/{b}{x}-{a}", "+34 {a} {b} {y}", "0034-{a}-{b}-{y}", "+44 (0)20 {c} {e}", "020 {c} {e}", "01 {x} {x} {x} {x}")).format(a=digits(3), b=digits(3), c=digits(4), e=digits(4), x=digits(2), y=digits(3)),
         "id_number": lambda: rng.choice(("{a}-{x}-{c}", "{a} {x} {c}", "X{c}{a}", "L{c}{b}X{y}", "D{a}-{c}-{e}", "QQ {x} {x} {x} A", "{c}{e}-X", "X-{c}{a}-Q", "DE{x} {c} {e} {c} {e} {x}", "{x} {a} {b} {a}", "{a}.{b}.{a}-{x}", "1 {x} {x} {x} {a} {b}", "{c}{e}{x}", "{c} {a}{b}")).format(a=digits(3), b=digits(3), c=digits(4), e=digits(4), x=digits(2), y=digits(1)),
         "address": lambda: rng.choice(("{n} {W} Street, {V}", "{n} {W} {V} Lane, Apt {k}, {U} {z}", "flat {k}, {n} {W} {V} Lane", "{n} {w} {v} avenue, {u}", "{W}straße {n}a", "Am {W} {n}, {z} {V}", "Calle del {W} {n}, {k}º B", "Plaza de {W}, {n}", "{n}, rue du {W}", "Rua {W}, {n}", "ул. Лесная, д. {n}")).format(n=rng.randint(1, 180), k=rng.randint(1, 9), z=digits(5), w=word(), v=word(), u=word(), W=word().title(), V=word().title(), U=word().title()),
+        "xname": lambda: rng.choice(("{a} {b}", "{a} {b}", "{a} {p} {b}", "{a} {c} {b}")).format(a=word(6).title(), b=sur.title(), c=word(4).title(), p=rng.choice(("van", "de", "Ni", "von der"))),
         "name": name, "Name": lambda: f"{given.title()} {sur.title()}",
         "long": lambda: digits(10), "part": lambda: f"X{digits(2)}-{digits(4)}-{digits(3)}", "version": lambda: f"{digits(1)}.{digits(2)}.{digits(3)}", "port": lambda: digits(4), "ip": lambda: f"10.{digits(1)}.{digits(2)}.1",
         "coord": lambda: f"{digits(2)}.{digits(5)}, {digits(2)}.{digits(5)}", "isbn": lambda: f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", "stamp": lambda: f"20{digits(2)}-0{rng.randint(1, 9)}-1{digits(1)} 1{digits(1)}:22:33", "score": lambda: f"{digits(3)}-{digits(3)}", "price": lambda: f"1.{digits(3)},00", "build": lambda: f"2024{digits(4)}.{digits(1)}",
@@ -284,7 +300,7 @@ def _filled(rng: random.Random) -> tuple[str, set[tuple[int, int, str]]]:
         text += frame[at : m.start()]
         v = fill[m[1]]()
         if m[0][0] == "{":
-            gold.add((len(text), len(text) + len(v), m[1].lower()))
+            gold.add((len(text), len(text) + len(v), "name" if m[1] == "xname" else m[1].lower()))
         text += v
         at = m.end()
     return text + frame[at:], gold
