@@ -1,4 +1,4 @@
-"""Text decoded with a wrong encoding: garbled sequences of all encoding pairs, found by one automaton."""
+"""Text decoded with a wrong encoding: UTF-8 read as any of ``AS``, and Cyrillic encodings swapped; found by automatons."""
 
 from __future__ import annotations
 
@@ -18,16 +18,18 @@ CHARACTERS = ((0xA0, 0x180), (0x370, 0x460), (0x5D0, 0x5EB), (0x620, 0x64B), (0x
 #: Single-byte encodings of Cyrillic that are taken for one another, and those as which they are read.
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
 CYRILLIC_AS = (*CYRILLIC, "cp1252", "latin1", "mac_roman", "cp437", "cp850")
+#: Frequent letter pairs that swapped text must show at least.
+HITS = 2
 #: Frequent letter pairs of Russian (fixed values).
 COMMON = "ст но то на ен ов ни ра во ко ал ли по ре ос пр ро ер ка ел ан ет ом те ва ин ел ле де ть ол ла не ор ат ес да от од ти за та ло го ве ри ит об ог ак тр ру об ки ки мы ас им че со до ме ит ож ия бы ск на ую ый ая ем ши зд уд ня"
 #: Characters that may follow a letter in correct text; a sequence ending on one says little alone.
 _FOLLOW = set("\xa0\xad»«…’”“‘–—™®°ªº¡¿‚„€£§·•|")
+_CYRILLIC_LETTER = re.compile("[\u0400-\u04ff]")
 _CYRILLIC_WORD = re.compile(r"[а-яё]+")
 _SEGMENT = re.compile(r"[^\n.!?…]+")
 _WORD = re.compile(r"[^\W\d_]+|[^\x00-\x7f\s]+")
 _LOST = re.compile(r"(?<=\w)�|�(?=\w)|��+")
 _C1 = re.compile(r"(?<=\w)[\x80-\x84\x86-\x9f]|[\x80-\x84\x86-\x9f](?=\w)")
-_OUTSIDE = re.compile(r"[^\x00-\x7f]")
 
 
 def _read_as(b: bytes, wrong: str) -> str:
@@ -91,14 +93,14 @@ def _swaps():
     return a
 
 
-def _share(words: list[str]) -> float:
-    """Share of the letter pairs of Cyrillic words that are frequent ones."""
+def _common_pairs(words: list[str]) -> tuple[int, int]:
+    """Letter pairs of Cyrillic words that are frequent ones, and all."""
     common = set(COMMON.split())
     n = hit = 0
     for w in words:
         n += len(w) - 1
         hit += sum(w[i : i + 2] in common for i in range(len(w) - 1))
-    return hit / n if n else 0.0
+    return hit, n
 
 
 def _unswapped(w: str, right: str, wrong: str) -> str | None:
@@ -109,41 +111,59 @@ def _unswapped(w: str, right: str, wrong: str) -> str | None:
     return got if got.islower() or got.istitle() or len(got) == 1 or got[1:].islower() else None
 
 
+def _best_swap(ws: list[re.Match]) -> list[tuple[re.Match, str]]:
+    """The words of a sentence as the pair of encodings reads them that makes them clearly more like Russian, if any does."""
+    votes: Counter = Counter(p for m in ws for _, pairs in _swaps().iter(m[0]) for p in pairs)
+    hits, of = _common_pairs([m[0].lower() for m in ws if _CYRILLIC_WORD.fullmatch(m[0].lower())])
+    asis = hits / of if of else 0.0
+    best: tuple = ((0, 0.0), [])
+    for (right, wrong), seen in votes.items():
+        if seen < HITS:
+            continue
+        fixed = [(m, _unswapped(m[0], right, wrong)) for m in ws]
+        good = [f.lower() for _, f in fixed if f and _CYRILLIC_WORD.fullmatch(f.lower())]
+        letters = sum(map(len, good))
+        if not letters or letters < 0.7 * sum(len(m[0]) for m in ws):
+            continue
+        hits, of = _common_pairs(good)
+        share = hits / of if of else 0.0
+        # few letters must nearly all be in frequent pairs, many a quarter of them
+        sure = share >= 0.25 and hits >= 3 and letters >= 6 or share >= 0.6 and hits >= HITS and max(map(len, good)) > 3
+        if sure and share - asis >= 0.15 and (letters, share) > best[0]:
+            best = ((letters, share), [(m, f) for m, f in fixed if f])
+    return best[1]
+
+
 def restore_swapped(text: str) -> tuple[str, int]:
     """Cyrillic of one single-byte encoding read as another: the text restored, and its restored words.
 
     Judged sentence by sentence, so that correct text beside stays. A sentence is garbled if its words
     without any ASCII letter, read the other way, have clearly more frequent letter pairs of Russian.
     """
-    out, at, n = [], 0, 0
+    fixes: list[tuple[int, int, str]] = []
     for seg in _SEGMENT.finditer(text):
-        s = seg[0]
-        if len(_OUTSIDE.findall(s)) < 6:
+        if seg[0].isascii():
             continue
-        votes: Counter = Counter(p for _, pairs in _swaps().iter(s) for p in pairs)
-        if not votes or votes.most_common(1)[0][1] < 3:
-            continue
-        ws = [m for m in _WORD.finditer(s) if not m[0].isascii()]
-        asis = _share([m[0].lower() for m in ws if _CYRILLIC_WORD.fullmatch(m[0].lower())])
-        best = None
-        for (right, wrong), _ in votes.most_common(4):
-            fixed = [(m, _unswapped(m[0], right, wrong)) for m in ws]
-            good = [f.lower() for _, f in fixed if f and _CYRILLIC_WORD.fullmatch(f.lower())]
-            letters = sum(map(len, good))
-            if letters >= 6 and letters >= 0.7 * sum(len(m[0]) for m in ws):
-                share = _share(good)
-                if share >= 0.25 and share - asis >= 0.15 and (best is None or (letters, share) > best[0]):
-                    best = ((letters, share), fixed)
-        if best:
-            for m, f in best[1]:
-                if f:
-                    a = seg.start() + m.start()
-                    out += [text[at:a], f]
-                    at = a + len(m[0])
-                    n += 1
+        foreign = [m for m in _WORD.finditer(seg[0]) if not m[0].isascii()]
+        # words in Cyrillic letters and others may be garbled in different ways, or only the ones
+        for own in (True, False):
+            fixes += [(seg.start() + m.start(), seg.start() + m.end(), f) for m, f in _best_swap([m for m in foreign if bool(_CYRILLIC_LETTER.search(m[0])) == own])]
+    out, at = [], 0
+    for a, b, f in sorted(fixes):
+        out += [text[at:a], f]
+        at = b
+    n = len(fixes)
     return "".join([*out, text[at:]]), n
 
 
+def _out_of_place(text: str, start: int, end: int) -> bool:
+    """Whether a sequence that may follow a letter in correct text cannot do so here: a capital inside a lower-case word, or Â without a word."""
+    if text[start] not in "ÂÃ":
+        return False
+    before, after = text[start - 1 : start], text[end : end + 1]
+    return before.islower() or after.islower() and text[start] == "Ã" and text[end - 1] != "\xa0" or text[start] == "Â" and not before.isalpha() and (text[end - 1] in "°¿¡«»·€£§©®ªº" or text[end - 1] == "\xa0" and not after.isupper())
+
+
 def inspect(text: str | None) -> tuple[bool, str | None, int]:
     """(affected, text with the matched spans restored, restored spans). Null and plain ASCII text is never affected."""
     if not text or text.isascii():
@@ -152,6 +172,7 @@ def inspect(text: str | None) -> tuple[bool, str | None, int]:
     strong = weak = at = 0
     parts: list[str] = []
     for end, (n, c, sure) in _automaton().iter_long(fixed):
+        sure = sure or _out_of_place(fixed, end + 1 - n, end + 1)
         strong, weak = strong + sure, weak + (not sure)
         parts += [fixed[at : end + 1 - n], c]
         at = end + 1

@@ -70,8 +70,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of communities that posts link, directly or through others."""
     c = grouping.group_components(_keys(spark, d).select("community", "post")).filter(F.col("node").startswith("c:"))
     c = c.select(F.substring("node", 3, 1 << 30).alias("name"), "component")
-    a, b = c.select(F.col("name").alias("subreddit_a"), "component"), c.select(F.col("name").alias("subreddit_b"), "component")
-    return a.join(b, "component").filter(F.col("subreddit_a") < F.col("subreddit_b")).select("subreddit_a", "subreddit_b")
+    # the pairs of a component are made in parts, as one component may hold most communities
+    a = c.select(F.col("name").alias("subreddit_a"), "component", F.pmod(F.xxhash64("name"), F.lit(16)).cast("int").alias("part"))
+    b = c.select(F.col("name").alias("subreddit_b"), "component", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part"))
+    return a.join(b, ["component", "part"]).filter(F.col("subreddit_a") < F.col("subreddit_b")).select("subreddit_a", "subreddit_b")
 
 
 def p3_splits(spark: SparkSession, d: str) -> DataFrame:

@@ -137,8 +137,10 @@ def encode_corpus(df: DataFrame, ident: str, text: str, path: str, block: int =
     own = df.select(F.col(ident).alias("__id"), F.col(text).alias("__text"))
     long = F.coalesce(F.length("__text") > block, F.lit(False))
     short = own.filter(~long).select(F.col("__id").alias(ident), whole("__text").alias("ids"))
-    numbered = own.filter(long).withColumn("__row", F.monotonically_increasing_id())
+    # a row is known by its id and text, which a task that runs again finds the same; copies are counted
+    numbered = own.filter(long).withColumn("__row", F.xxhash64("__text"))
     blocks = numbered.select("__id", "__row", F.posexplode(cut("__text")).alias("no", "p")).repartition("__row", "no")
     coded = blocks.select("__id", "__row", "no", "p.glued", whole("p.part").alias("ids"))
-    parts = coded.groupBy("__row").agg(F.first("__id").alias(ident), F.sort_array(F.collect_list(F.struct("no", "glued", "ids"))).alias("parts"))
-    return short.unionByName(parts.select(ident, joined("parts").alias("ids")))
+    parts = coded.groupBy("__id", "__row").agg(F.sort_array(F.collect_set(F.struct("no", "glued", "ids"))).alias("parts"), F.count_if(F.col("no") == 0).alias("copies"))
+    each = parts.select(F.col("__id").alias(ident), joined("parts").alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return short.unionByName(each.select(ident, "ids"))
