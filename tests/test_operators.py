@@ -44,6 +44,22 @@ def test_histogram(spark):
     assert report.histogram(spark.createDataFrame([(1,), (1,)], "v int"), F.col("v")).count() == 0
 
 
+def test_exact_quantiles(spark):
+    import random
+
+    from turnmill.operators.quantiles import exact, exact_quantiles
+
+    rng = random.Random(5)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(30_001)], "b": [rng.choice([1.5, 2.5, 2.5, -7.0]) for _ in range(1000)], "c": [3.25], "d": [1.0, 2.0]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("a", None), ("a", math.nan), ("e", None)]
+    at = {"least": 0.0, "p10": 0.1, "median": 0.5, "p90": 0.9, "p999": 0.999, "most": 1.0}
+    got = {r.g: r for r in exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", at).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        for name, p in at.items():
+            assert got[g][name] == pytest.approx(exact(xs, p), abs=1e-12), (g, name)
+
+
 def test_token_weights(spark):
     df = spark.createDataFrame([(1, [-100, 7, 7, -100, 7, -100, 7], [0.0, 0.5, 0.0, 1.5])], "k int, l array<int>, w array<double>")
     assert [r.weight for r in tokens.token_weights(df, "k", "l", "w").orderBy("pos").collect()] == [0, 0.5, 0.5, 0, 1.5, 0, 1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,18 @@ PUNCTUATION = r"""[.,;:!?\-"'()\[\]{}]"""
 FEATURES = ("sentence_length", "word_length", "contractions", "pronouns", "questions", "exclamations", "hedges", "informal", "punctuation")
 
 
+def _factored(words: list[str]) -> str:
+    """A pattern of the words in which common beginnings stand once, so that most positions fail at one letter."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(h) + (_factored(rest) if len(rest) > 1 else re.escape(rest[0])) for h, rest in heads.items()]
+    # longer words first: a shorter one that also ends here is tried last
+    return "(?:" + "|".join(sorted(parts, key=lambda x: not x)) + ")" if len(parts) > 1 else parts[0]
+
+
 def _listed(words: list[str]) -> str:
-    return r"(?iU)\b(?:" + "|".join(words) + r")\b"
+    return r"(?iU)\b" + _factored(words) + r"\b"
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -40,15 +52,17 @@ def words(c: Column) -> Column:
 def counts(c: Column) -> dict[str, Column]:
     """The raw counts below the features; a null text counts as empty."""
     c = F.coalesce(c, F.lit(""))
-    s, w = sentences(c), words(c)
-    ending = lambda mark: F.size(F.filter(s, lambda x: F.rtrim(x).endswith(mark)))
+    w = words(c)
+    blank = ~F.regexp_like(c, F.lit(r"(?U)\S"))
+    # a sentence ends at blanks behind a mark, or at the end of the text
+    ending = lambda mark: _count(c, rf"(?U){mark}(?=\s|\z)")
     return {
-        "n_sentences": F.size(s),
+        "n_sentences": F.when(blank, F.lit(0)).otherwise(_count(c, r"(?U)[.!?]\s+(?=\S)") + 1),
         "n_words": F.size(w),
         "n_word_chars": F.length(F.array_join(w, "")),
         "n_contractions": _count(c, _listed(CONTRACTIONS)),
         "n_pronouns": _count(c, _listed(PRONOUNS)),
-        "n_questions": ending("?"),
+        "n_questions": ending(r"\?"),
         "n_exclamations": ending("!"),
         "n_hedges": _count(c, _listed(HEDGES)),
         "n_informal": _count(c, _listed(INFORMAL)),

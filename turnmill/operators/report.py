@@ -1,4 +1,4 @@
-"""Descriptive statistics of preference pairs. All are hash aggregates; percentiles are exact."""
+"""Descriptive statistics of preference pairs. Percentiles are exact: of counts by a hash of their values, of real numbers by ``quantiles``."""
 
 from __future__ import annotations
 
@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import turns
 from turnmill.operators.pairs import display_subreddit, length_matched, touched
+from turnmill.operators.quantiles import exact_quantiles
+from turnmill.session import checkpointed
 
 
-def _stats(df: DataFrame, columns: dict[str, Column], *names: str) -> DataFrame:
-    """One row per measure with the named statistics; null values are left out."""
+def _stats(df: DataFrame, columns: dict[str, Column], *names: str, real: bool = False) -> DataFrame:
+    """One row per measure with the named statistics; null values are left out. ``real`` measures may have very many different values."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), c.cast("double").alias("v")) for k, c in columns.items()])).alias("x")).select("x.*")
     how = {
         "mean": F.avg("v"), "std": F.stddev_pop("v"), "least": F.min("v"), "most": F.max("v"), "median": F.percentile("v", F.lit(0.5)),
         **{f"p{p}": F.percentile("v", F.lit(p / 100)) for p in (10, 25, 75, 90)},
     }
-    return long.filter(~F.isnan("v")).groupBy("measure").agg(*[how[n].alias(n) for n in names])
+    long = long.filter(~F.isnan("v"))
+    ranks = {n: 0.5 if n == "median" else int(n[1:]) / 100 for n in names if n == "median" or n[1:].isdigit()}
+    if not real:
+        return long.groupBy("measure").agg(*[how[n].alias(n) for n in names])
+    long = checkpointed(long)
+    rest = long.groupBy("measure").agg(*[how[n].alias(n) for n in names if n not in ranks])
+    return rest.join(exact_quantiles(long, "measure", "v", ranks), "measure").select("measure", *names)
 
 
 def counts_by(df: DataFrame, column: Column, name: str) -> DataFrame:
@@ -49,7 +57,7 @@ def depth_distribution(df: DataFrame) -> DataFrame:
 
 
 def score_statistics(df: DataFrame) -> DataFrame:
-    return _stats(df, {c: F.col(c) for c in ("chosen_score", "rejected_score", "score_delta")}, "mean", "median", "p10", "p90")
+    return _stats(df, {c: F.col(c) for c in ("chosen_score", "rejected_score", "score_delta")}, "mean", "median", "p10", "p90", real=True)
 
 
 def char_statistics(df: DataFrame) -> DataFrame:
@@ -62,10 +70,10 @@ def length_balance(df: DataFrame, matched_only: bool = False) -> DataFrame:
     x = df.select(turns.chars(F.col("chosen_branch")).alias("c"), turns.chars(F.col("rejected_branch")).alias("r"))
     x = x.withColumn("ratio", turns.length_ratio(F.col("c"), F.col("r")))
     within = [F.count_if(F.col("ratio") <= t).alias(f"within_{int(t * 100)}") for t in (0.1, 0.2, 0.3, 0.5)]
-    return x.agg(
-        F.count(F.lit(1)).alias("pairs"), F.avg("ratio").alias("mean"), F.percentile("ratio", F.lit(0.5)).alias("median"), F.percentile("ratio", F.lit(0.9)).alias("p90"),
-        *within, F.count_if(F.col("c") > F.col("r")).alias("chosen_longer"), F.count_if(F.col("r") > F.col("c")).alias("rejected_longer"),
-    )
+    x = checkpointed(x)
+    counted = x.agg(F.count(F.lit(1)).alias("pairs"), F.avg("ratio").alias("mean"), *within, F.count_if(F.col("c") > F.col("r")).alias("chosen_longer"), F.count_if(F.col("r") > F.col("c")).alias("rejected_longer"))
+    ranks = exact_quantiles(x.withColumn("all", F.lit(1)), "all", "ratio", {"median": 0.5, "p90": 0.9})
+    return counted.withColumn("all", F.lit(1)).join(ranks, "all", "left").drop("all")
 
 
 def synthesis_statistics(df: DataFrame) -> DataFrame:
@@ -119,4 +127,4 @@ def histogram(df: DataFrame, value: Column, bins: int = 10) -> DataFrame:
 
 
 def score_summary(scores: DataFrame, column: str = "attunement_score") -> DataFrame:
-    return _stats(scores, {column: F.col(column)}, "mean", "std", "least", "most", "median", "p10", "p25", "p75", "p90")
+    return _stats(scores, {column: F.col(column)}, "mean", "std", "least", "most", "median", "p10", "p25", "p75", "p90", real=True)
