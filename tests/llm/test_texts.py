@@ -205,6 +205,57 @@ def test_leaks(spark):
     assert leakage.find_leaks(df, "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
 
 
+def test_leaks_of_few_and_changed_words(spark):
+    """Runs of just 20 words, and 60 words of which every sixth, fifth, fourth or third is another."""
+    import random
+
+    rng = random.Random(5)
+    common = ["the", "a", "of", "and", "to", "in", "was", "is"]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    passages = {i: [word() for _ in range(80)] for i in range(200)}
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in passages.items()], "item_id long, passage string")
+    other = lambda n: [word() for _ in range(n)]
+    docs, kinds = [], {}
+    for i, p in passages.items():
+        kind = ("run", 6, 5, 4, 3)[i % 5]
+        if kind == "run":
+            at = rng.randint(0, 60)
+            t = p[at : at + 20]
+        else:
+            t = [word() + "x" if k % kind == kind - 1 else w for k, w in enumerate(p[:60])]
+        kinds[i] = kind
+        docs.append((i, " ".join(other(40) + t + other(30))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(df, "doc_id", "text", items, "item_id", "passage").collect()}
+    assert all(a == b for a, b in got)
+    for kind, least in (("run", 0.97), (6, 0.97), (5, 0.97), (4, 0.95), (3, 0.85)):
+        own = [i for i in kinds if kinds[i] == kind]
+        assert sum((i, i) in got for i in own) >= least * len(own), kind
+
+
+def test_defects_beyond_fixed_lengths(spark):
+    en = "The library opens at nine and the members bring their own cups to the reading room every morning. "
+    de = "Die Bibliothek öffnet um neun und die Mitglieder bringen jeden Morgen ihre eigenen Tassen in den Lesesaal mit. "
+    labelled = spark.createDataFrame([(en * 3 + str(i), "en") for i in range(8)] + [(de * 3 + str(i), "de") for i in range(8)], "text string, lang string")
+    m = defects.fit(labelled, labelled.select(F.array("text").alias("texts")))
+    long = "I'm sorry, but I can't help with that request because it touches on matters that the rules of this service ask me to leave aside, and no wording of the question, however kindly it is meant, will change that for me today."
+    assert len(long.split()) > 40 and defects.refuses(long) and defects.refuses("I'd prefer not to engage with this topic.")
+    assert not defects.refuses("I can't answer that fully, but here is what the library does: " + en * 3) and not defects.refuses(en)
+    assert defects.defect(m, en, "Die Mitglieder bringen Tassen mit.") == "other_language" and defects.defect(m, en, "Members bring cups.") is None
+    assert defects.defect(m, "Why now?", "why NOW") == "copied_question"
+    assert defects.defect(m, en, "The members (who open at nine " + "and bring their own cups to the reading room " * 8 + "every morning") == "truncated"
+    # cut words stay cut words, however often they were cut at the same place
+    texts = [f"Number {i} went over the holidays to the library and the members met." for i in range(30)] + [f"Number {i} went over the holi" for i in range(30)]
+    m = defects.fit(labelled.limit(0), spark.createDataFrame([([t],) for t in texts], "texts array<string>"))
+    assert m.ending(["over", "the", "holi"]) == 0.0
+
+
+@pytest.mark.parametrize("text", ["25 Â°C outside", "El especÃ\xadfico", "10Â\xa0km", "Ñêàçàë: ïðèâåò", "Он ïðèâåò ñêàçàë"])
+def test_short_damage(text):
+    affected, fixed, _ = garbled.inspect(text)
+    assert affected and not set(fixed) & set("ÂÃïðèâåòÑñêàçàë")
+
+
 @pytest.mark.parametrize("wrong", ["cp1252", "latin1", "cp1251", "cp437", "cp850", "mac_roman"])
 def test_garbled_round_trip(wrong):
     for t in ("Señor González’s façade — über naïve", "Кстати, музей бережёт настенные часы"):
