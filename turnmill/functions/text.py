@@ -31,7 +31,8 @@ def _factored(words: list[str]) -> str:
 
 
 def _listed(words: list[str]) -> str:
-    return r"(?iU)\b" + _factored(words) + r"\b"
+    """Matches of whole words in lower-case text."""
+    return r"(?U)\b" + _factored(words) + r"\b"
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -52,7 +53,7 @@ def words(c: Column) -> Column:
 def counts(c: Column) -> dict[str, Column]:
     """The raw counts below the features; a null text counts as empty."""
     c = F.coalesce(c, F.lit(""))
-    w = words(c)
+    w, low = words(c), F.lower(c)
     blank = ~F.regexp_like(c, F.lit(r"(?U)\S"))
     # a sentence ends at blanks behind a mark, or at the end of the text
     ending = lambda mark: _count(c, rf"(?U){mark}(?=\s|\z)")
@@ -60,12 +61,12 @@ def counts(c: Column) -> dict[str, Column]:
         "n_sentences": F.when(blank, F.lit(0)).otherwise(_count(c, r"(?U)[.!?]\s+(?=\S)") + 1),
         "n_words": F.size(w),
         "n_word_chars": F.length(F.array_join(w, "")),
-        "n_contractions": _count(c, _listed(CONTRACTIONS)),
-        "n_pronouns": _count(c, _listed(PRONOUNS)),
+        "n_contractions": F.when(low.contains("'"), _count(low, _listed([x for x in CONTRACTIONS if "'" in x]))).otherwise(F.lit(0)) + _count(low, _listed([x for x in CONTRACTIONS if "'" not in x])),
+        "n_pronouns": _count(low, _listed(PRONOUNS)),
         "n_questions": ending(r"\?"),
         "n_exclamations": ending("!"),
-        "n_hedges": _count(c, _listed(HEDGES)),
-        "n_informal": _count(c, _listed(INFORMAL)),
+        "n_hedges": _count(low, _listed(HEDGES)),
+        "n_informal": _count(low, _listed(INFORMAL)),
         "n_punctuation": _count(c, PUNCTUATION),
         "n_chars": F.length(c),
     }
