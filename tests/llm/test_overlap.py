@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from turnmill.llm import overlap
-from turnmill.llm.words import words
+from turnmill.llm.words import portions, word_codes, words
 
 
 def lcs(a, b):
@@ -28,6 +28,22 @@ def test_words():
     assert words("") == []
 
 
+def test_portions():
+    assert list(portions([])) == [] and list(portions([5], 3)) == [(0, 1)]
+    assert list(portions([1, 1, None, 1, 9, 1, 2, 2], 3)) == [(0, 4), (4, 5), (5, 7), (7, 8)]
+
+
+def test_word_codes_are_those_of_words():
+    texts = ["Don’t <b>stop</b> &amp; [see](http://x.y/z) **Ｎow**​", "", "İstanbul a_b ﬁ", "one two ONE", "\ud800 lone", "'", "é\u0301 x"]
+    codes, bounds = word_codes(texts)
+    own = [codes[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+    known = {}
+    for t, c in zip(texts, own, strict=True):
+        assert len(c) == len(words(t))
+        assert all(known.setdefault(w, x) == x for w, x in zip(words(t), c, strict=True))
+    assert len(set(known.values())) == len(known) and own[3][0] == own[3][2]
+
+
 def _chain(text):
     return json.dumps([{"role": "user", "content": text[: len(text) // 2]}, {"role": "assistant", "content": text[len(text) // 2 :]}, {"role": "user", "content": None}, 5])
 

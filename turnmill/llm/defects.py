@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnmill.llm.overlap import common_in_order, set_bits
-from turnmill.llm.words import content, token_kinds, turns, word_codes, words
+from turnmill.llm.words import content, portions, token_kinds, turns, word_codes, words
 from turnmill.session import checkpointed
 
 #: Labelled texts per language that the language model is fitted on at most.
@@ -254,8 +254,8 @@ def with_ending(rows: DataFrame, texts: DataFrame, own: int = 0) -> DataFrame:
             k = g & np.int64(FILTER_BITS - 1)
             return (bits[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 == 1
 
-        for b in batches:
-            t = tokens(b["text"].tolist())
+        for texts in (b["text"].iloc[i:j].tolist() for b in batches for i, j in portions(b["text"].str.len())):
+            t = tokens(texts)
             gs, flags = [], []
             for g, ok in ngrams(t):
                 ok &= wanted_only(g)
@@ -428,7 +428,7 @@ def find_defects(pairs: DataFrame, model: Model, ident: str, fork: str, branches
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(shared.value)
-        for b in batches:
+        for b in (whole.slice(i, j - i) for whole in batches for i, j in portions(sum(len(x or "") for x in r) for r in zip(*(whole.column(k).to_pylist() for k in range(1, 2 + len(names))), strict=True))):
             forks, answers = b.column(1).to_pylist(), [b.column(2 + k).to_pylist() for k in range(len(names))]
             asked = [content(f[-1]) if (f := turns(v)) else None for v in forks]
             said = [[content(t[0]) if (t := turns(v)) else None for v in own] for own in answers]

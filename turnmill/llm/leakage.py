@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnmill.llm.overlap import CHUNK, HOT, HOTTEST, PARTS, class_hashes, key_filter, key_held, lists
-from turnmill.llm.words import word_codes
+from turnmill.llm.overlap import HOT, HOTTEST, PARTS, class_hashes, key_filter, key_held, lists
+from turnmill.llm.words import portions, word_codes
 from turnmill.session import checkpointed
 
 #: Token positions that a seed looks at (1) and ignores (0); the first is that of runs without a change.
@@ -96,18 +97,18 @@ _SEEDS = [("seed", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]
 
 
 def _coded(df: DataFrame, ident: str, text: str, least: int, known=None) -> DataFrame:
-    """(``ident``, cls, codes, seed, at) of texts with ``least`` words or more: word codes, a hash of these, seeds and their places.
+    """(id, cls, codes, seed, at) of texts with ``least`` words or more: word codes, a hash of these, seeds and their places.
 
     With ``known``, the broadcast filter, only of texts with a seed in it, and only such seeds.
     """
     long, whole = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
-    schema = T.StructType([df.schema[ident], T.StructField("cls", T.LongType()), T.StructField("codes", whole), T.StructField("seed", long), T.StructField("at", whole)])
+    schema = T.StructType([T.StructField("id", df.schema[ident].dataType), T.StructField("cls", T.LongType()), T.StructField("codes", whole), T.StructField("seed", long), T.StructField("at", whole)])
     gap = max(map(len, MASKS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, len(batch), CHUNK):
-                b = batch.slice(low, CHUNK)
+            for low, high in portions(pa.compute.utf8_length(batch.column(1)).to_pylist()):
+                b = batch.slice(low, high - low)
                 codes, bounds = word_codes([plain(t) for t in b.column(1).to_pylist()])
                 rows = np.flatnonzero(np.diff(bounds) >= least)
                 own = [codes[bounds[i] : bounds[i + 1]] for i in rows]
@@ -141,7 +142,7 @@ def _coded(df: DataFrame, ident: str, text: str, least: int, known=None) -> Data
                     columns = [b.column(0).take(pa.array(rows[got])), pa.array(cls), lists([c.view(np.int32) for c in kept], pa.list_(pa.int32())), *(lists(cut(x), t) for x, (_, t) in zip((seeds, places), _SEEDS, strict=True))]
                     yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
 
-    return checkpointed(df.select(ident, text).mapInArrow(work, schema))
+    return checkpointed(df.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(work, schema))
 
 
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least: int = LEAST_WORDS) -> DataFrame:
@@ -155,7 +156,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     passages alike are counted once; empty tables give an empty one.
     """
     spark = docs.sparkSession
-    held = _coded(items.select(item_id, passage).distinct(), item_id, passage, least)
+    held = _coded(items.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{passage}`").alias("text")).distinct(), "id", "text", least)
     # equal passages are one
     own = checkpointed(held.select("cls", "codes", "seed", "at").dropDuplicates(["cls"]))
     total = own.count()
@@ -172,7 +173,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     alone = own.select("cls", F.explode(runs).alias("x")).select("cls", "x.seed", "x.at").join(sized.filter(F.col("in") == 1), "seed").groupBy("cls").agg(F.collect_set("at").alias("alone"))
     known, _ = key_filter(sized.select(F.col("seed").alias("key")), sized.count())
     found = _coded(docs, doc_id, text, least, spark.sparkContext.broadcast(known))
-    hits = found.select(F.col(doc_id).alias("__doc"), F.col("cls").alias("d_cls"), F.explode(F.arrays_zip("seed", "at")).alias("x")).select("x.seed", "__doc", "d_cls", F.col("x.at").alias("d_at"))
+    hits = found.select(F.col("cls").alias("d_cls"), F.explode(F.arrays_zip("seed", "at")).alias("x")).select("x.seed", "d_cls", F.col("x.at").alias("d_at"))
     # copies of a text are looked at once
     hits = hits.select("seed", "d_cls", "d_at").distinct()
     met = checkpointed(hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT))
@@ -203,5 +204,5 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
             yield b[["d_cls", "cls"]].assign(words=n)[n >= least]
 
     same = checkpointed(pairs.mapInPandas(compared, "d_cls long, cls long, words int"))
-    out = same.join(found.select(doc_id, F.col("cls").alias("d_cls")), "d_cls").join(held.select(item_id, "cls"), "cls")
-    return out.groupBy(doc_id, item_id).agg(F.max("words").alias("words"))
+    out = same.join(found.select(F.col("id").alias("doc"), F.col("cls").alias("d_cls")), "d_cls").join(held.select(F.col("id").alias("item"), "cls"), "cls")
+    return out.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("words").alias("words"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnmill.llm.words import content, turns, word_codes
+from turnmill.llm.words import content, portions, turns, word_codes
 from turnmill.session import checkpointed
 
 #: Bands, the minwise hashes in each, and those in all, each of which is in two bands. Texts of which four fifths
@@ -157,7 +157,7 @@ def _entries(df: DataFrame, conversation: Column, known=None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for b in batches:
+        for b in (whole.slice(i, j - i) for whole in batches for i, j in portions(pa.compute.utf8_length(whole.column("__conversation")).to_pylist())):
             texts, sizes = [], []
             for v in b.column("__conversation").to_pylist():
                 own = [content(t) for t in turns(v)]

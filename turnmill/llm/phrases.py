@@ -48,7 +48,7 @@ FRAMES: dict[tuple[str, str], list[str]] = {
     ],
     ("en", "sexual"): [
         "i want to fuck you", "he fucked her hard", "she begged him to fuck her harder", "he thrust deep inside her", "she rode him until they both came", "she sucked his cock", "suck my dick", "he licked her pussy", "spread your legs for me", "i am so wet for you", "i'm so hard for you", "take off your clothes for me", "her nipples were hard under his tongue", "she moaned as he entered her", "touch yourself for me", "send me nudes", "show me your tits", "bend over and take it", "i'm going to cum", "make you cum all night", "she was naked and begging for it",
-        "begging him to take her", "he grabbed her ass and pulled her onto his lap", "her naked body against his", "i want to taste you", "his hand slid up her thigh", "she wrapped her lips around him", "jerk off to this", "he came inside her", "rip your clothes off and have you on the table", "she stroked him until he groaned", "i want you naked in my bed", "her wet pussy", "his throbbing cock", "horny and waiting for you",
+        "he grabbed her ass and pulled her onto his lap", "her naked body against his", "i want to taste you", "his hand slid up her thigh", "she wrapped her lips around him", "jerk off to this", "he came inside her", "rip your clothes off and have you on the table", "she stroked him until he groaned", "i want you naked in my bed", "her wet pussy", "his throbbing cock", "horny and waiting for you",
     ],
     ("en", "none"): [
         "i am such a {n}", "i felt like a {n}", "i was a {n} to forget it", "what a {n} i am", "call me a {n} but", "my own stupidity", "this stupid {t}", "the {t} is a piece of shit", "that {t} was garbage", "what the fuck", "holy shit", "damn it", "oh fuck", "fuck this {t}", "this {t} sucks", "i hate this {t}", "the {t} is dumb", "he called me a {n}", "calling somebody a {n}", "somebody a {n}", "a {n}", "a comment calling him a {n}", "do not call people {n}", "they called each other {n}", "somebody called her a {n} and was banned", "the word {n} is an insult", "a user wrote that i should kill myself and i reported it", "the post was removed for threats", "moderators deleted the insult",

@@ -7,6 +7,7 @@ import json
 import re
 import unicodedata
 import zlib
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,19 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def portions(sizes: Iterable[int | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ends of consecutive ranges whose sizes add up to at most ``most``, or that hold one element: what arrays are made of at a time."""
+    start = total = n = 0
+    for n, size in enumerate(sizes, 1):
+        size = size or 0
+        if n - 1 > start and total + size > most:
+            yield start, n - 1
+            start, total = n - 1, 0
+        total += size
+    if n > start:
+        yield start, n
+
+
 def turns(value: str | None) -> list[dict]:
     """The turns of a JSON array; empty where it is null, broken or no array. Elements that are no objects are dropped."""
     if not value:
